@@ -98,7 +98,7 @@ class Packer:
         """Full windows of every tier from what waits; the rest waits on."""
         w = self.waiting
         for tier, below in zip(self.tiers, (*self.tiers[1:], 0)):
-            while w.lengths and w.lengths[-1] > below and w.ids >= tier:
+            while w.lengths and below < w.lengths[-1] <= tier and w.ids >= tier:
                 window = [w.take(len(w.lengths) - 1)]
                 gap = tier - len(window[0][2])
                 while gap:
