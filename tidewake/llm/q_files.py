@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewake.llm import media
+from tidewake.llm import media, warc
 from tidewake.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages")).filter(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+ORACLE_SQL = {
+    "op1_warc": """
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM (SELECT page_id, n, d, max(page_id) OVER (PARTITION BY d, n) AS kept
+              FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages))""",
+}
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op3_media": op3_media}
+QUERIES = {"op1_warc": op1_warc, "op3_media": op3_media}
