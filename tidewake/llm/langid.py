@@ -190,23 +190,45 @@ def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(places, offsets[1:]) > np.searchsorted(places, offsets[:-1])
 
 
+def predict(net: Network | None, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    n = len(offsets) - 1
+    if not net:
+        return [UNKNOWN] * n, np.zeros(n)
+    p = window_probabilities(net, data, offsets)
+    has, best = lettered(data, offsets), p.argmax(axis=1)
+    return [net.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist())], np.where(has, np.clip(p.max(axis=1), 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(1)):
-                lang, score = [UNKNOWN] * (b - a), np.zeros(b - a)
-                if net:
-                    p = window_probabilities(net, data, offsets)
-                    has, best = lettered(data, offsets), p.argmax(axis=1)
-                    lang = [net.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist())]
-                    score = np.where(has, np.clip(p.max(axis=1), 0, 1), 0.0)
+                lang, score = predict(net, data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The documents, all columns, whose language has at least a score; a missing lang becomes the predicted one."""
+    at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_chunks(batch.column(at)):
+                found, score = predict(net, data, offsets)
+                part = batch.slice(a, b - a)
+                if lang >= 0 and part.column(lang).null_count:
+                    part = part.set_column(lang, part.schema.field(lang), pa.array([x if x is not None else y for x, y in zip(part.column(lang).to_pylist(), found)], pa.string()))
+                yield part.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(found, score.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Documents whose text and language training never sees."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
