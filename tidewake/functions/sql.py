@@ -30,6 +30,7 @@ def register(spark: SparkSession) -> list[str]:
     """Make the functions known to spark.sql; returns their names."""
     for name, (arguments, kind, make) in FUNCTIONS.items():
         names = [a.split()[0] for a in arguments.split(", ")]
-        body = make(*[F.col(n) for n in names])._jc.expr().sql()
+        plan = spark.createDataFrame([], arguments).select(make(*[F.col(n) for n in names]).alias("x"))._jdf.queryExecution().analyzed()
+        body = plan.projectList().head().child().sql()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN CAST({body} AS {kind})")
     return list(FUNCTIONS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
@@ -15,7 +15,6 @@ from tidewake.sources import adapter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HERE = f"{HOME[0]!r}E0", f"{HOME[1]!r}E0"
-LAT, LON = F.col("lat"), F.col("lon")
 #: Fixes with the fix before.
 PAIRS = "pairs AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(ts) OVER w AS ts0, lag(heading) OVER w AS heading0 FROM fix WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id))"
 
@@ -28,28 +27,32 @@ def query(name: str, oracle: str):
     return put
 
 
+def ends() -> list[Column]:
+    """Places of the fix before and of the fix."""
+    return [F.col(c) for c in S]
+
+
 def pairs(fix: DataFrame) -> DataFrame:
     w = Window.partitionBy("mmsi").orderBy("ts", "event_id")
     return fix.withColumns({f"{c}0": F.lag(c).over(w) for c in ("lat", "lon", "ts", "heading")})
 
 
-P = [F.col(c) for c in ("lat0", "lon0", "lat", "lon")]
 S = ("lat0", "lon0", "lat", "lon")
 
 
 @query("tier_of", sql.over(f"SELECT event_id, {sql.tier('lat', 'lon')} AS tier FROM fix"))
 def _tier(fix, spark):
-    return fix.select("event_id", vessels.tier_of(LAT, LON).alias("tier"))
+    return fix.select("event_id", vessels.tier_of(F.col("lat"), F.col("lon")).alias("tier"))
 
 
 @query("haversine", sql.over(f"SELECT event_id, {sql.rounded(sql.haversine(*S))} AS nm, {sql.rounded(sql.haversine(*S, radius=6371.0))} AS km FROM pairs", PAIRS))
 def _haversine(fix, spark):
-    return pairs(fix).select("event_id", geo.rounded(geo.haversine_nm(*P)).alias("nm"), geo.rounded(geo.haversine_km(*P)).alias("km"))
+    return pairs(fix).select("event_id", geo.rounded(geo.haversine_nm(*ends())).alias("nm"), geo.rounded(geo.haversine_km(*ends())).alias("km"))
 
 
 @query("bearing", sql.over(f"SELECT event_id, {sql.rounded(sql.degrees(sql.bearing(*S)))} AS deg FROM pairs", PAIRS))
 def _bearing(fix, spark):
-    return pairs(fix).select("event_id", geo.rounded(geo.bearing_deg(*P)).alias("deg"))
+    return pairs(fix).select("event_id", geo.rounded(geo.bearing_deg(*ends())).alias("deg"))
 
 
 TURN = "abs(heading0 - heading) % 360"
@@ -67,7 +70,7 @@ CROSS = f"abs(asin(sin({sql.haversine(*HERE, 'lat', 'lon')} / 3440.065E0) * sin(
 @query("cross_track", sql.over(f"SELECT event_id, {sql.rounded(CROSS)} AS nm FROM pairs", PAIRS))
 def _cross(fix, spark):
     a, b = F.lit(HOME[0]), F.lit(HOME[1])
-    return pairs(fix).select("event_id", geo.rounded(geo.cross_track_nm(a, b, geo.bearing_rad(a, b, P[0], P[1]), LAT, LON)).alias("nm"))
+    return pairs(fix).select("event_id", geo.rounded(geo.cross_track_nm(a, b, geo.bearing_rad(a, b, F.col("lat0"), F.col("lon0")), F.col("lat"), F.col("lon"))).alias("nm"))
 
 
 SEGMENT = f"""SELECT event_id, {sql.rounded('sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))')} AS km FROM (SELECT *, greatest(0E0, least(1E0, coalesce(-(ax * dx + ay * dy) / nullif(dx * dx + dy * dy, 0), 0E0))) AS t
@@ -77,7 +80,7 @@ SEGMENT = f"""SELECT event_id, {sql.rounded('sqrt(pow(ax + t * dx, 2) + pow(ay +
 
 @query("point_segment", sql.over(SEGMENT, PAIRS))
 def _segment(fix, spark):
-    d = geo.point_segment_km(F.lit(HOME[0]), F.lit(HOME[1]), *P)
+    d = geo.point_segment_km(F.lit(HOME[0]), F.lit(HOME[1]), *ends())
     return pairs(fix).filter("lat0 is not null").select("event_id", geo.rounded(d).alias("km"))
 
 
@@ -112,12 +115,12 @@ def ring(points: list[tuple[float, float]]):
 
 @query("pip_sql", sql.over(f"SELECT event_id, {_edges(RING)} AS inside FROM fix"))
 def _pip(fix, spark):
-    return fix.select("event_id", geo.in_ring(LAT, LON, ring(RING)).alias("inside"))
+    return fix.select("event_id", geo.in_ring(F.col("lat"), F.col("lon"), ring(RING)).alias("inside"))
 
 
 @query("water_with_holes", sql.over(f"SELECT event_id, ({_edges(RING)}) AND NOT ({_edges(HOLE)}) AS water FROM fix"))
 def _water(fix, spark):
-    return fix.select("event_id", geo.in_water(LAT, LON, ring(RING), F.array(ring(HOLE))).alias("water"))
+    return fix.select("event_id", geo.in_water(F.col("lat"), F.col("lon"), ring(RING), F.array(ring(HOLE))).alias("water"))
 
 
 #: Samples along the straight line from one fix to the next, at most 1 km apart.
@@ -128,10 +131,10 @@ SAMPLED = f"""WITH RECURSIVE {sql.fixes()}, {PAIRS}, legs AS (SELECT event_id, m
 
 def crossings(fix: DataFrame) -> DataFrame:
     """Each leg of a track, and whether one of its samples lies on land."""
-    legs = pairs(fix).filter("lat0 is not null").withColumn("km", geo.haversine_km(*P)).filter("km < 400").withColumn("n", F.greatest(F.lit(2), F.ceil("km")).cast("int"))
+    legs = pairs(fix).filter("lat0 is not null").withColumn("km", geo.haversine_km(*ends())).filter("km < 400").withColumn("n", F.greatest(F.lit(2), F.ceil("km")).cast("int"))
     at = F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")
     points = legs.select("event_id", "mmsi", "km", *S, "n", at).withColumn("f", F.col("i").cast("double") / F.col("n"))
-    land = geo.in_ring(P[0] + (LAT - P[0]) * F.col("f"), P[1] + (LON - P[1]) * F.col("f"), ring(RING))
+    land = geo.in_ring(F.col("lat0") + (F.col("lat") - F.col("lat0")) * F.col("f"), F.col("lon0") + (F.col("lon") - F.col("lon0")) * F.col("f"), ring(RING))
     return points.groupBy("event_id", "mmsi", "km").agg(F.max(land).alias("crosses"))
 
 
@@ -186,7 +189,7 @@ def _visible(fix, spark):
     """Within 30 km of home and in none of the sectors that hills hide."""
     b = F.col("b")
     hidden = b.between(0, 141.07) | b.between(153.66, 162.38) | b.between(183.26, 204.86)
-    p = fix.select("event_id", geo.bearing_deg(F.lit(HOME[0]), F.lit(HOME[1]), LAT, LON).alias("b"), geo.haversine_km(F.lit(HOME[0]), F.lit(HOME[1]), LAT, LON).alias("km"))
+    p = fix.select("event_id", geo.bearing_deg(F.lit(HOME[0]), F.lit(HOME[1]), F.col("lat"), F.col("lon")).alias("b"), geo.haversine_km(F.lit(HOME[0]), F.lit(HOME[1]), F.col("lat"), F.col("lon")).alias("km"))
     return p.select("event_id", geo.rounded(b).alias("bearing"), ((F.col("km") <= 30) & ~hidden).alias("visible"))
 
 
