@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +30,41 @@ _classes: np.ndarray | None = None
 
 
 def classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
+    """Class of every code point: letter, number, white space or other, as the tokenizers library has them.
+
+    Two Unicode databases are at hand, of other versions than the library's; where they differ the library is asked.
+    """
     global _classes
     if _classes is None:
-        out = np.full(0x110000, OTHER, np.uint8)
         points = [*range(0xD800), *range(0xE000, 0x110000)]
-        every = "".join(map(chr, points))
-        at = np.array(points)
+        every, at = "".join(map(chr, points)), np.array(points)
+        one, two = np.full(0x110000, OTHER, np.uint8), np.full(0x110000, OTHER, np.uint8)
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
             for m in regex.finditer(pattern, every):
-                out[at[m.start() : m.end()]] = kind
-        _classes = out
+                one[at[m.start() : m.end()]] = kind
+        two[at] = [{"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in every]
+        two[one == SPACE] = SPACE
+        doubtful = np.flatnonzero(one != two)
+        one[doubtful] = asked_classes(doubtful)
+        _classes = one
     return _classes
 
 
+def asked_classes(points: np.ndarray) -> np.ndarray:
+    """Classes of code points by how the library cuts: a sign joins one of its own class and no other."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut, out = ByteLevel(add_prefix_space=False, use_regex=True), np.full(len(points), SPACE, np.uint8)
+    for kind, lead in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+        for a in range(0, len(points), 20_000):
+            some = points[a : a + 20_000]
+            text = "".join(f"\n\n{lead}{chr(c)}" for c in some)
+            starts = np.zeros(len(text), bool)
+            starts[[where[0] for _, where in cut.pre_tokenize_str(text)]] = True
+            out[a : a + 20_000][~starts[3::4]] = kind
+    return out
+
+
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offset and code point of every character of valid UTF-8."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
