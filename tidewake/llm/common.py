@@ -53,6 +53,13 @@ class Work:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or with underscores before it if the columns have it already."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared folder, as a task opens them."""
     if "://" in uri or uri.startswith("file:"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import BASES, MIX, Work, chunks, mix, span_hashes, text_bytes
+from tidewake.llm.common import BASES, MIX, Work, chunks, mix, span_hashes, text_bytes, unused
 
 ROUNDS = 2
 #: A missing doc_id, in comparisons.
@@ -187,8 +187,9 @@ def _spans(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias(name))
 
 
-def marked(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The documents with `spans`: (start, n) for windows start .. start + n - 1 that repeat an earlier window."""
+def marked(docs: DataFrame, window: int = 20, name: str = "spans") -> DataFrame:
+    """The documents with a column of (start, n) for windows start .. start + n - 1 that repeat an earlier window."""
+    doc = unused("doc", docs.columns)
     work = Work(docs.sparkSession, "recompression")
     keys = work.save(anchors(docs, window, full=False).groupBy("key").count().filter("count > 1").select("key"), "keys")
     near = work.save(anchors(docs, window, full=True).join(keys, "key"), "segments")
@@ -198,11 +199,11 @@ def marked(docs: DataFrame, window: int = 20) -> DataFrame:
     compared = work.save(_spans(compared, "spans"), "compared")
     place = F.struct("doc", "start")
     repeated = near.join(wordings.filter("times > 1").select("key", "c1", "c2", "n", "first"), ["key", "c1", "c2", "n"]).filter(place > F.col("first")).select("doc", "start", "n")
-    texts = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
-    pieces = windows(texts.select("doc", "doc_id", "text").join(compared, "doc"), window)
+    texts = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    pieces = windows(texts.select(F.col(doc).alias("doc"), "doc_id", "text").join(compared, "doc"), window)
     pieces = work.save(pieces, "windows")
-    found = work.save(_spans(repeated.unionAll(_later(pieces, ["w1", "w2"]).select("doc", "start", F.lit(1).alias("n"))), "spans"), "spans")
-    return texts.join(found, "doc", "left").drop("doc")
+    found = work.save(_spans(repeated.unionAll(_later(pieces, ["w1", "w2"]).select("doc", "start", F.lit(1).alias("n"))), name), "spans")
+    return texts.join(found.withColumnRenamed("doc", doc), doc, "left").drop(doc)
 
 
 def covered(count: int, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -256,4 +257,5 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 data["n_chars"] = pc.if_else(pc.is_valid(batch.column(len(columns))), pc.utf8_length(data["text"]).cast(data["n_chars"].type), data["n_chars"])
             yield pa.RecordBatch.from_arrays([data[c] for c in columns], columns)
 
-    return marked(docs, window).select(*columns, "spans").mapInArrow(run, docs.schema)
+    spans = unused("spans", columns)
+    return marked(docs, window, spans).select(*columns, spans).mapInArrow(run, docs.schema)
