@@ -28,7 +28,7 @@ from tidewake.llm import gbt
 
 #: Pages whose sentences fill the training layouts, and training pages made of them.
 SAMPLE_PAGES = 200
-TRAIN_PAGES = 700
+TRAIN_PAGES = 800
 #: Pages that are classified together.
 TOGETHER = 64
 
@@ -308,14 +308,14 @@ def training_page(rng: np.random.Generator, words: list[str]) -> str:
                 out.append(f"<h2 data-label=1>{some(2, 8)}</h2>")
             elif u < 0.88:
                 out.append("<ul data-label=1>" + "".join(f"<li data-label=1>{some(3, 30)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
-            elif u < 0.91:
+            elif u < 0.89:
                 out.append(f"<blockquote data-label=1><p data-label=1>{some(8, 50)}</p></blockquote>")
-            elif u < 0.93:
+            elif u < 0.90:
                 out.append("<table data-label=1>" + "".join(f"<tr data-label=1><td data-label=1>{some(1, 6)}</td><td data-label=1>{some(1, 6)}</td></tr>" for _ in range(rng.integers(1, 5))) + "</table>")
-            elif u < 0.95:
+            elif u < 0.91:
                 out.append(f"<div data-label=1>{some(8, 80)}</div>")
             else:
-                out.append(part(str(rng.choice(["advert", "side", "share", "form", "notice"]))))
+                out.append(part(str(rng.choice(["advert", "advert", "side", "share", "form", "notice", "comment"]))))
         return "".join(out)
 
     inner, u = article(), rng.random()

@@ -8,7 +8,7 @@ Training takes a bounded sample: of the windows of labelled rows the SAMPLE_WIND
 language. The sample goes to the driver, which fits the network; batches of windows are scored in the tasks.
 
 Cases: a null text or one without a letter is `und` with score 0; with no labelled row at all every text is `und`; equal
-texts get equal answers; ties go to the language that sorts first; other columns pass untouched.
+texts get equal answers, to six decimals; ties go to the language that sorts first; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -161,10 +161,11 @@ def window_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) ->
     out = np.zeros((len(count), len(net.languages)))
     for a in range(0, len(row), SCORED):
         at, n = begin[a : a + SCORED], size[a : a + SCORED]
-        rows = held[at[:, None] + np.arange(WINDOW)].astype(np.int32)
-        rows[np.arange(WINDOW) >= n[:, None]] = 256
-        np.add.at(out, row[a : a + SCORED], probabilities(net, rows) * n[:, None])
-    return out / np.maximum(lengths, 1)[:, None]
+        rows = np.full((SCORED, WINDOW), 256, np.int32)  # always as many rows, so that products come out alike
+        rows[: len(at)] = held[at[:, None] + np.arange(WINDOW)]
+        rows[: len(at)][np.arange(WINDOW) >= n[:, None]] = 256
+        np.add.at(out, row[a : a + SCORED], probabilities(net, rows)[: len(at)] * n[:, None])
+    return np.round(out / np.maximum(lengths, 1)[:, None], 6)
 
 
 def probabilities(net: Network, rows: np.ndarray) -> np.ndarray:
