@@ -72,7 +72,7 @@ def apply_scan(store: Store, batch: int, raw: DataFrame, kind: str, scan_ts: int
     done = ingest.scan(kind, ais.complete(merged), ingest.states(vessels, positions), zones, scan_ts)
     after = ingest.upsert_vessels(vessels, done.upserts)
     static = merged.filter(~F.col("has_position") & F.col("has_static")).select("mmsi", *ingest.STATIC)
-    log = done.positions.withColumn("id", F.lit(batch * 1_000_000).cast("bigint") + F.abs(F.xxhash64("mmsi") % 1_000_000))
+    log = done.positions.withColumn("id", F.lit(batch << 32).cast("bigint") + F.col("mmsi"))  # a vessel has one fix a scan
     cast = lambda d, schema: d.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(", ")])
     store.commit(batch, cast(ingest.enrich_static(after, static), VESSELS), cast(log, POSITIONS), cast(ingest.upsert_zone_visits(store.visits(), done.zone_observations), VISITS))
     merged.unpersist()
