@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
-from tidewake.operators import tracks
-from tidewake.plans import sql
+from tidewake.operators import polygons, routing, tracks
+from tidewake.plans import function_queries, sql
 from tidewake.sources import adapter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,28 @@ ORACLE_SQL["precompute_eligible"] = sql.over("SELECT mmsi, last_pos_ts FROM vess
 @query("smooth_track", None)
 def _smooth(p, spark):
     return tracks.denoised(tracks.journeys(p)).select("mmsi", "journey", "id", "t", "lat", "lon")
+
+
+def land() -> routing.Land:
+    """The land of the function queries, as polygons of the router."""
+    return routing.Land([function_queries.RING], [(function_queries.HOLE, [])])
+
+
+@query("route_water", None)
+def _route(p, spark):
+    """All points of the ways over water across the gaps of every track."""
+    return routing.water_routes(routing.land_gaps(p, land()), land(), max_cells=150, full=True)
+
+
+@query("harvest_segments", None)
+def _harvest(p, spark):
+    """The points that a trail needs, with what a stored segment says of itself."""
+    return routing.water_routes(routing.land_gaps(p, land()), land(), max_cells=150)
+
+
+@query("region_validate", sql.over("SELECT CAST(mmsi AS VARCHAR) AS region, CAST(ts // 86400000 AS INT) AS ring_id, CASE WHEN count(*) < 4 THEN 'too few points' ELSE 'off the globe' END AS problem FROM (SELECT *, lat + CASE WHEN mmsi % 29 = 0 THEN 50 ELSE 0 END AS y FROM fix) x GROUP BY 1, 2 HAVING count(*) < 4 OR bool_or(y NOT BETWEEN -90 AND 90)"))
+def _validate(p, spark):
+    """Each day of a track as a ring; some are moved off the globe."""
+    y = F.col("lat") + F.when(F.col("mmsi") % 29 == 0, 50).otherwise(0)
+    rings = p.groupBy(F.col("mmsi").cast("string").alias("region"), F.floor(F.col("t") / 86_400_000.0).cast("int").alias("ring_id")).agg(F.collect_list(F.struct(y.alias("lat"), F.col("lon").alias("lon"))).alias("ring"))
+    return polygons.problems(rings)
