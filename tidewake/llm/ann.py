@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.common import Work
 
-TABLES = 5
-SUCCESS = 0.52
+TABLES = 4
+SUCCESS = 0.5
 #: Queries whose true neighbours set the width of the slots.
 SAMPLE_QUERIES = 64
 #: Entries of a bucket, or part of one, that are compared at a time.
@@ -38,7 +38,7 @@ BUCKET_ROWS = 4096
 #: Entries of a group of buckets.
 GROUP_ROWS = 20_000
 #: Entries that a bucket has on average.
-BUCKET_MEAN = 48
+BUCKET_MEAN = 256
 STEPS = (0, -1, 1, -2, 2)
 SEED = 11
 
