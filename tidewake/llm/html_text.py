@@ -363,7 +363,7 @@ def extract(pages: DataFrame, trees: gbt.Trees, id_col: str = "page_id", html_co
 def fitted(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES) -> gbt.Trees:
     """Trees for a table of pages: at most `most` of them, those of least hash, give the words of the layouts."""
     size = pages.filter(F.col(html_col).isNotNull()).count()
-    chosen = pages.filter(F.col(html_col).isNotNull()).filter(F.pmod(F.xxhash64(html_col), F.lit(1 << 20)) < min(1.0, 1.5 * most / max(1, size)) * (1 << 20)).select(F.col(html_col).alias("html"))
+    chosen = pages.filter(F.col(html_col).isNotNull()).filter(F.pmod(F.xxhash64(html_col), F.lit(1 << 20)) < min(1.0, 1.5 * most / max(1, size)) * (1 << 20)).select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,14 +53,16 @@ def sample(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "l
     """At most `windows` windows for each language, from at most `most` labelled documents of each.
 
     Languages are counted first; then each language gives the share of its rows that makes about `most` of them, chosen
-    by a hash of the text, so the sample is spread over all rows and bounded, and does not depend on how rows lie.
+    by a hash of the text, so the sample is spread over all rows and does not depend on how rows lie. A text counts once,
+    however many copies it has, so the sample stays bounded.
     """
     rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.25 * most / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    chosen = rows.filter(place < share[F.col("lang")] * (1 << 20)).withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -177,47 +177,36 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = TABLE_SEEDS, bits: int = TABLE_BITS, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of every document that has a copy or near copy: the smallest doc_id of its group.
 
-    Equal word sequences are one class from the start. Classes emit their balls for every seed; in each group of one
-    value the least class is compared with the others by exact Jaccard similarity of shingles, and those that are not
-    similar to it elect their own least class, round by round, until every class is linked or alone.
+    Equal word sequences are one class from the start. Classes emit their balls for every seed. In each group of one
+    value a class is compared with the least class and with the one before it in the order of the next seed's
+    fingerprint, by exact Jaccard similarity of shingles; so a group gives as many pairs as it has classes, and a class
+    meets the members of some 200 groups. Links that hold are joined to components.
     """
     work = Work(docs.sparkSession, "near-duplicates")
     named = docs.select("doc_id", "text").filter("doc_id is not null")
     signed = work.save(signatures(named, seeds, bits), "signatures")
     same = work.save(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "blocks")).alias("least")).select("h1", "h2", F.col("least.doc_id").alias("class"), F.col("least.blocks").alias("blocks")), "same")
     masks = F.array(*[F.lit(m).cast("bigint") for m in ball(bits, radius // 2)])
-    block = same.select("class", F.posexplode("blocks").alias("seed", "fp")).select("class", F.shiftleft(F.col("seed").cast("bigint"), bits).bitwiseOR(F.col("fp")).alias("fp"))
-    met = block.select("class", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    groups = work.save(_elect(met), "groups-0")
-    sets, found, k = None, None, 0
-    while not groups.isEmpty():
-        pairs = groups.select("least", "class").distinct()
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("least", "class")).alias("doc_id")).distinct()
-            sets = work.save(shingle_sets(named.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-        a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("least", "class"))
-        both = F.size(F.array_intersect("least_set", "class_set"))
-        judged = pairs.join(a, "least").join(b, "class").select("least", "class", (both >= similarity * (F.size("least_set") + F.size("class_set") - both)).alias("linked"))
-        judged = work.save(judged, f"judged-{k}")
-        linked = judged.filter("linked").select(F.col("least").alias("a"), F.col("class").alias("b"))
-        found = linked if found is None else found.unionAll(linked)
-        left = groups.join(judged.filter("not linked"), ["least", "class"], "left_semi").select("class", "value")
-        groups, k = work.save(_elect(left), f"groups-{k + 1}"), k + 1
-    if found is None:
-        roots = same.select("h1", "h2", F.col("class").alias("root"))
-    else:
-        rooted = components(found, work).withColumnRenamed("node", "class")
-        roots = same.join(rooted, "class", "left").select("h1", "h2", F.coalesce("root", "class").alias("root"))
+    block = same.select("class", "blocks", F.posexplode("blocks").alias("seed", "fp"))
+    after = F.element_at("blocks", (F.col("seed") + 1) % len(seeds) + 1)
+    block = block.select("class", after.alias("after"), F.shiftleft(F.col("seed").cast("bigint"), bits).bitwiseOR(F.col("fp")).alias("fp"))
+    met = block.select("class", "after", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    group = Window.partitionBy("value")
+    near = met.select("class", F.min("class").over(group).alias("least"), F.lag("class").over(group.orderBy("after", "class")).alias("before"))
+    other = F.explode(F.array("least", "before")).alias("other")
+    pairs = near.filter("before is not null or least <> class").select("class", other).filter("other is not null and other <> class")
+    pairs = work.save(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = work.save(shingle_sets(named.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    found = pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+    rooted = components(found, work).withColumnRenamed("node", "class")
+    roots = same.join(rooted, "class", "left").select("h1", "h2", F.coalesce("root", "class").alias("root"))
     roots = work.save(roots, "roots")
     return signed.join(roots, ["h1", "h2"]).select("doc_id", F.col("root").alias("component_id"))
 
 
-def _elect(met: DataFrame) -> DataFrame:
-    """Of the classes that meet in a value: (value, class, least) for all but the least."""
-    least = F.min("class").over(Window.partitionBy("value"))
-    return met.select("value", "class", least.alias("least")).filter("class <> least")
-
-
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without their copies and near copies: of each group the one with the smallest doc_id stays."""
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
