@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import Work
+from tidewake.llm.common import Work, gather
 
 TABLES = 4
 SUCCESS = 0.5
@@ -252,8 +252,6 @@ def _compare(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.nd
     score = exact(q[row], c[col]) if len(row) else np.zeros(0)
     count = np.diff(ids.offsets.to_numpy())[col] if len(col) else np.zeros(0, np.int64)
     at = ids.offsets.to_numpy()[col] if len(col) else np.zeros(0, np.int64)
-    from tidewake.llm.common import gather
-
     vec_id = gather(ids.values.to_numpy(), at, count)
     query_id, score = np.repeat(q_ids[row], count), np.repeat(score, count)
     other = vec_id != query_id

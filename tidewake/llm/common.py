@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; it bounds a Python worker's memory. A longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -53,6 +54,15 @@ class Work:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of ids up to which a join may send them to all executors.
+FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame, most: int = FEW_IDS) -> DataFrame:
+    """Ids that a join with whole texts sends to the texts if they are at most so many; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, or with underscores before it if the columns have it already."""
     while name.lower() in {c.lower() for c in columns}:

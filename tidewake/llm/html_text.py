@@ -65,8 +65,6 @@ ARTICLE = np.array([t in ("article", "main") for t in TAGS] + [False])
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Any string between quotes may be unclosed; this finds where such a tag ends.
-PLAIN_END = re.compile(r">")
 
 
 class Page:

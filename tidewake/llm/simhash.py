@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import Work, span_hashes, text_chunks
+from tidewake.llm.common import BASES, Work, few, mix, span_hashes, text_chunks
 from tidewake.llm.graph import components
 
 SEED = 42
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, seeds: tuple[int, ...], bits: int) -> DataFrame:
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 joined, starts, ends, first = words(lower(data), offsets)
                 edge = np.append(starts, len(joined))[first]
-                whole = [span_hashes(joined, edge[:-1], edge[1:], base).view(np.int64) for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                whole = [span_hashes(joined, edge[:-1], edge[1:], base).view(np.int64) for base in BASES]
                 row = np.repeat(np.arange(b - a), np.diff(first))
                 value = span_hashes(joined, starts, ends)
                 order = np.lexsort((value, row))
@@ -156,9 +156,7 @@ def signatures(docs: DataFrame, seeds: tuple[int, ...], bits: int) -> DataFrame:
 
 
 def _salted(value: np.ndarray, seed: int) -> np.ndarray:
-    from tidewake.llm.common import mix
-
-    return mix(value + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return mix(value + np.uint64(seed * BASES[0] & (1 << 64) - 1))
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -196,8 +194,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, see
     other = F.explode(F.array("least", "before")).alias("other")
     pairs = near.filter("before is not null or least <> class").select("class", other).filter("other is not null and other <> class")
     pairs = work.save(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = work.save(shingle_sets(named.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    wanted = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = work.save(shingle_sets(named.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
     a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     found = pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
@@ -214,4 +212,5 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
         order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         docs = docs.withColumn("_row", F.row_number().over(order)).filter("_row = 1 or doc_id is null").drop("_row")
     gone = near_duplicates(docs, size, similarity).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Work(docs.sparkSession, "copies").save(gone, "gone")
+    return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
