@@ -109,6 +109,34 @@ def test_near_duplicates_find_planted_copies(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in roots.items() if d == r}
 
 
+def roots_by_brute_force(rows):
+    """The least id that links of Jaccard similarity 0.8 over five-word shingles reach, for each id."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_crowded_balls_lose_no_pair(spark, monkeypatch):
+    """Texts of the same words in other orders share all fingerprints; only some, far apart by id, are near copies."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 3, raising=False)
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        text = [f"w{x}" for x in rng.sample(range(120), 120)]
+        rows.append((k, " ".join(text)))
+        text[40], text[41] = text[41], text[40]
+        rows.append((100 + 7 * k % 40, " ".join(text)))
+    rows += [(200 + k, " ".join([f"s{x}" for x in range(6)] + [f"u{k}-{x}" for x in range(9)])) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = roots_by_brute_force(rows)
+    assert got == want and sum(d != r for d, r in want.items()) == 40
+
+
 def test_keep_one_on_odd_documents(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

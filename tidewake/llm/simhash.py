@@ -6,8 +6,11 @@ meet are at most r bits apart, which a check of the differing bits confirms. A v
 size of distinct fingerprints, whatever the copies: equal documents share one fingerprint, and it is fingerprints that
 are dealt out. Within a group links join neighbours in order; that keeps every component.
 
-`near_duplicates` finds pairs of at least a given Jaccard similarity of word shingles. Fingerprints of several seeds are
-taken over a document's distinct words, and pairs that meet in any of them are compared exactly.
+`near_duplicates` joins all pairs of at least a given Jaccard similarity of word shingles. Fingerprints of several seeds
+are taken over a document's distinct words, and neighbours that meet in any of them are compared exactly; that links most
+copies cheaply. All other pairs come from an exact prefix filter: of two sets with that similarity, the first shingles of
+either, in any one order of all shingles, have one in common. The order is from rare to frequent by a sketch of counts, so
+the sketch's errors cost time and no pair.
 
 Cases: a null or empty text has no words and fingerprint zero; fewer words than a shingle give one shingle; rows with
 equal ids are rows of one document; a row without an id has a fingerprint and gets the class of its fingerprint (null,
@@ -32,6 +35,12 @@ SEED = 42
 #: Seeds, bits and radius of the candidate fingerprints of near_duplicates: 32 bits of each of these seeds.
 TABLE_SEEDS = (1, 2, 3, 4, 5, 6)
 TABLE_BITS = 32
+#: Counters of the sketch that orders shingles, and counters of a row of it.
+SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
+#: Bytes of text whose shingles are made at a time for the prefix filter.
+SPAN_BYTES = 1 << 18
+#: Classes of one shingle that are compared with each other at a time; more are dealt into parts, and pairs of parts.
+PART_ROWS = 1000
 #: Feature values of a chunk whose bits are counted at a time.
 COUNTED = 1 << 17
 
@@ -172,13 +181,100 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>")
 
 
+def _span_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, row, value) of chunks of texts: the distinct shingles of rows a to b, sorted within a row."""
+    for a, b, data, offsets in text_chunks(column, SPAN_BYTES):
+        joined, starts, ends, first = words(lower(data), offsets)
+        n = np.diff(first)
+        count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
+        row = np.repeat(np.arange(b - a), count)
+        x = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        y = np.minimum(x + size, first[row + 1]) - 1
+        value = span_hashes(joined, starts[x], ends[y])
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        yield a, b, row[fresh], value[fresh]
+
+
+def frequency(texts: DataFrame, size: int) -> np.ndarray:
+    """A level for each counter of a sketch: eight a doubling of the texts that have one of the counter's shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            for _, _, _, value in _span_sets(batch.column(0), size):
+                at, n = np.unique(value & np.uint64(SKETCH - 1), return_counts=True)
+                held[at.astype(np.int64)] += n.astype(np.uint32)
+        if held.any():
+            rows = np.minimum(held, 255).astype(np.uint8).reshape(-1, SKETCH_ROW)
+            for k, r in enumerate(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary())], ["k", "counts"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        out = np.zeros(SKETCH_ROW, np.uint32)
+        for r in rows["counts"]:
+            out += np.frombuffer(r.as_buffer(), np.uint8)
+        return pa.table({"k": rows["k"].slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    parts = texts.select("text").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(total, "k int, counts binary").collect()
+    out = np.zeros(SKETCH, np.uint8)
+    for r in parts:
+        level = np.log2(np.maximum(np.frombuffer(r["counts"], np.uint32), 1).astype(np.float64)) * 8
+        out[r["k"] * SKETCH_ROW : (r["k"] + 1) * SKETCH_ROW] = np.minimum(level, 255)
+    return out
+
+
+def prefixes(texts: DataFrame, size: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """(shingle, class, root, n) of the shingles that come first in each text: n has n - ceil(similarity n) + 1 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, row, value in _span_sets(batch.column(2), size):
+                n = np.bincount(row, minlength=b - a)
+                order = np.lexsort((value, levels[(value & np.uint64(SKETCH - 1)).astype(np.int64)], row))
+                row, value = row[order], value[order]
+                rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                first = rank < (n - np.ceil(similarity * n - 1e-6) + 1)[row]
+                row, value = row[first], value[first]
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row].astype(np.int32))], ["shingle", "class", "root", "n"])
+
+    kind = texts.schema["class"].dataType.simpleString()
+    return texts.select("class", "root", "text").mapInArrow(run, f"shingle bigint, class {kind}, root {kind}, n int")
+
+
+def prefix_pairs(entries: DataFrame, similarity: float, work: Work) -> DataFrame:
+    """All pairs (a, b) of classes with different roots that may have the similarity, by the shingles of their prefixes.
+
+    Of two sets, all common shingles up to the end of the prefix that ends first are in both prefixes; those and the
+    rest of that set bound what the sets have in common. A shingle of over PART_ROWS classes is compared in pairs of
+    parts, each a key of its own, so no task has all of it.
+    """
+    group = Window.partitionBy("shingle")
+    met = entries.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group), "rows": F.count("*").over(group)}).filter("least <> most")
+    met = met.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
+    met = work.save(met.select("shingle", "class", "root", "n", "parts", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part")), "met")
+    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "class", "root", "n", "part")
+    side = lambda c: cells.select("shingle", "lo", "hi", *[F.col(x).alias(f"{c}_{x}") for x in ("class", "root", "n", "part")])
+    both = side("a").join(side("b"), ["shingle", "lo", "hi"])
+    both = both.filter("a_class < b_class and a_root <> b_root and (lo = hi or a_part <> b_part)")
+    both = both.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6)
+    shared = both.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
+    rest = F.ceil(similarity * F.greatest("a_n", "b_n") - 1e-6) - 1
+    return shared.filter(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = TABLE_SEEDS, bits: int = TABLE_BITS, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of every document that has a copy or near copy: the smallest doc_id of its group.
 
     Equal word sequences are one class from the start. Classes emit their balls for every seed. In each group of one
     value a class is compared with the least class and with the one before it in the order of the next seed's
     fingerprint, by exact Jaccard similarity of shingles; so a group gives as many pairs as it has classes, and a class
-    meets the members of some 200 groups. Links that hold are joined to components.
+    meets the members of some 200 groups. Links that hold are joined to components. Then every pair of classes of
+    different components that the prefix filter cannot rule out is compared, so that no pair is lost.
     """
     work = Work(docs.sparkSession, "near-duplicates")
     named = docs.select("doc_id", "text").filter("doc_id is not null")
@@ -194,12 +290,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, see
     other = F.explode(F.array("least", "before")).alias("other")
     pairs = near.filter("before is not null or least <> class").select("class", other).filter("other is not null and other <> class")
     pairs = work.save(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "pairs")
-    wanted = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = work.save(shingle_sets(named.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    found = pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose shingles have the similarity."""
+        wanted = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-wanted")
+        sets = work.save(shingle_sets(named.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), f"{name}-sets")
+        a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        found = pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+        return work.save(found, f"{name}-found")
+
+    found = alike(pairs, "balls")
     rooted = components(found, work).withColumnRenamed("node", "class")
+    classes = work.save(same.select("class").join(rooted, "class", "left").withColumn("root", F.coalesce("root", "class")), "classes")
+    texts = named.join(few(classes.withColumnRenamed("class", "doc_id")), "doc_id").withColumnRenamed("doc_id", "class")
+    entries = prefixes(texts, size, similarity, frequency(texts, size))
+    more = alike(work.save(prefix_pairs(entries, similarity, work), "rest"), "prefixes")
+    rooted = components(found.unionAll(more), work, "all").withColumnRenamed("node", "class")
     roots = same.join(rooted, "class", "left").select("h1", "h2", F.coalesce("root", "class").alias("root"))
     roots = work.save(roots, "roots")
     return signed.join(roots, ["h1", "h2"]).select("doc_id", F.col("root").alias("component_id"))
