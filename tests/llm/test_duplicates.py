@@ -137,6 +137,22 @@ def test_crowded_balls_lose_no_pair(spark, monkeypatch):
     assert got == want and sum(d != r for d, r in want.items()) == 40
 
 
+def test_near_duplicates_find_appended_and_cut_blocks(spark):
+    """Texts of distinct words, and copies with a block added or missing at similarities from 0.80 to 0.90."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(60):
+        n = rng.randint(100, 400)
+        share = (0.81, 0.85, 0.89)[g % 3]
+        text = [f"g{g}-{k}" for k in range(n)]
+        cut = int((n - 4) * (1 - share))
+        copy = [text[:-cut], text[cut:], text + [f"more{g}-{k}" for k in range(int((n - 4) * (1 / share - 1)))]][g // 3 % 3]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = roots_by_brute_force(rows)
+    assert got == want and sum(d != r for d, r in want.items()) == 60
+
+
 def test_keep_one_on_odd_documents(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
