@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import dims, vessels
 from tidewake.functions import sql as sqlfuncs
-from tidewake.operators import ingest, tracks
+from tidewake.operators import ingest, routing, tracks
 from tidewake.sources import ais
 
 FIX = "mmsi bigint, id bigint, t bigint, lat double, lon double, speed double, heading int, vessel_type int, tier string"
@@ -93,3 +93,19 @@ def test_sql_functions(spark):
 def test_flag_and_age(spark):
     d = spark.createDataFrame([("CA", 59_999), ("US", 3_600_000), (None, 120_000)], "iso string, age bigint")
     assert [tuple(r) for r in d.select(vessels.flag(F.col("iso")), vessels.age_label(F.col("age"))).collect()] == [("🇨🇦", "59s ago"), ("🇺🇸", "1h ago"), (None, "2m ago")]
+
+
+def test_smoothing_keeps_fixes_off_land(spark):
+    """The middle fix moves towards its neighbours' line, unless land lies there."""
+    rows = [(1, 0, 0, 0.0, 0.0), (1, 1, 1, 0.1, 1.0), (1, 2, 2, 0.0, 2.0)]
+    fixes = spark.createDataFrame(rows, "mmsi bigint, id bigint, t bigint, lat double, lon double").withColumn("journey", F.lit(0))
+
+    def middle(ring):
+        shore = routing.Land([ring])
+        out = {r.id: (r.lat, r.lon) for r in tracks.denoised(fixes, lambda lat, lon: routing.is_land(lat, lon, shore)).collect()}
+        assert out[0] == (0.0, 0.0) and out[2] == (0.0, 2.0)
+        return out[1]
+
+    assert middle([(-0.5, 0.5), (0.09, 0.5), (0.09, 1.5), (-0.5, 1.5)]) == (0.1, 1.0)
+    lat, lon = middle([(-0.5, 0.5), (0.07, 0.5), (0.07, 1.5), (-0.5, 1.5)])  # the second pass would reach land
+    assert 0.07 < lat < 0.09 and lon == 1.0

@@ -6,6 +6,8 @@ windows. Each vessel's track is one group, so its length bounds a task's work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,8 +145,11 @@ def heading_from_track(fixes: DataFrame) -> DataFrame:
     return last.filter(F.col("p.from").isNotNull()).select("mmsi", geo.bearing_deg(F.col("p.from.lat"), F.col("p.from.lon"), F.col("p.lat"), F.col("p.lon")).alias("heading"))
 
 
-def denoised(fixes: DataFrame, passes: int = 2, factor: float = 0.2) -> DataFrame:
-    """Fixes pulled towards the middle of their neighbours, more where the track bends less; ends stay."""
+def denoised(fixes: DataFrame, on_land: Callable[[Column, Column], Column], passes: int = 2, factor: float = 0.2) -> DataFrame:
+    """Fixes pulled towards the middle of their neighbours, more where the track bends less; ends stay.
+
+    In each pass a fix that would move onto land, by on_land(lat, lon), keeps its place.
+    """
     w, out = ordered("journey"), fixes
     for _ in range(passes):
         near = lambda c, n: F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w)
@@ -152,7 +157,8 @@ def denoised(fixes: DataFrame, passes: int = 2, factor: float = 0.2) -> DataFram
         cosine = F.coalesce(F.try_divide(ax * bx + ay * by, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)), F.lit(0.0))
         pull = factor * F.greatest(F.lit(0.0), cosine)
         moved = {c: F.when(near(c, 1).isNull() | near(c, -1).isNull(), F.col(c)).otherwise(F.col(c) + pull * ((near(c, 1) + near(c, -1)) / 2 - F.col(c))) for c in ("lat", "lon")}
-        out = out.withColumns(moved)
+        out = out.withColumns({f"_{c}": x for c, x in moved.items()}).withColumn("_ashore", on_land(F.col("_lat"), F.col("_lon")))
+        out = out.withColumns({c: F.when(F.col("_ashore"), F.col(c)).otherwise(F.col(f"_{c}")) for c in ("lat", "lon")}).drop("_lat", "_lon", "_ashore")
     return out
 
 

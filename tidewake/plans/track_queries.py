@@ -171,7 +171,7 @@ ORACLE_SQL["precompute_eligible"] = sql.over("SELECT mmsi, last_pos_ts FROM vess
 
 @query("smooth_track", None)
 def _smooth(p, spark):
-    return tracks.denoised(tracks.journeys(p)).select("mmsi", "journey", "id", "t", "lat", "lon")
+    return tracks.denoised(tracks.journeys(p), lambda lat, lon: routing.is_land(lat, lon, land())).select("mmsi", "journey", "id", "t", "lat", "lon")
 
 
 def land() -> routing.Land:
