@@ -1,7 +1,7 @@
 """Byte-level BPE of whole texts: vectorised pre-tokens, distinct pre-tokens encoded once, and the segment-tree encoder.
 
-A byte-level BPE encodes each pre-token on its own, so a worker keeps the ids of the pre-tokens that it has met and
-asks an encoder only for new ones. Two encoders give the same ids: `LibraryWords` asks the tokenizers library, and
+A byte-level BPE encodes each pre-token on its own, so a worker keeps the ids of the pre-tokens that it has met, with
+their bytes, and asks an encoder only for new ones. Two encoders give the same ids: `LibraryWords` asks the tokenizers library, and
 `SegmentTreeWords` keeps the ranks of adjacent pairs in a segment tree whose root is the leftmost lowest-rank merge.
 
 Cases: a null text has no ids and decodes to the empty text; the text of a special token inside a text becomes that
@@ -333,9 +333,14 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.count, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint16), 0
+        self.text_at, self.text_len, self.text, self.text_used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint8), 0
 
     def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and the number of ids before each text and after the last."""
+        """Ids of the texts, one after the other, and the number of ids before each text and after the last.
+
+        Pre-tokens are looked up by a fingerprint, and their bytes are compared with those of the one that is kept under
+        it; one that differs is encoded on its own.
+        """
         starts = pre_tokens(data, offsets, self.words.special)
         if not len(starts):
             return np.zeros(0, self.pool.dtype), np.zeros(len(offsets), np.int64)
@@ -350,24 +355,52 @@ class Encoder:
                 self.forget()
                 at, new = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
             who = first[new]
-            raw = data.tobytes()
-            ids, count = self.words.encode([raw[a:b] for a, b in zip(starts[who].tolist(), ends[who].tolist())])
+            ids, count = self._ids(data, starts[who], ends[who])
             if len(ids) and int(ids.max()) > 0xFFFF and self.pool.dtype == np.uint16:
                 self.pool = self.pool.astype(np.uint32)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
+            self.pool = _extended(self.pool, self.used, ids)
             slots = len(self.at) + np.arange(len(who))
             self.at = np.concatenate([self.at, self.used + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.used += len(ids)
+            size = ends[who] - starts[who]
+            self.text = _extended(self.text, self.text_used, gather(data, starts[who], size))
+            self.text_at = np.concatenate([self.text_at, self.text_used + np.cumsum(size) - size])
+            self.text_len = np.concatenate([self.text_len, size])
+            self.text_used += int(size.sum())
             self.known = np.insert(self.known, at[new], keys[new])
             self.slot = np.insert(self.slot, at[new], slots)
             at = np.searchsorted(self.known, keys)
         slot = self.slot[at][which]
-        count = self.count[slot]
+        count, begin, pool = self.count[slot], self.at[slot], self.pool
+        other = self._others(data, starts, ends, slot)
+        if len(other):
+            ids, more = self._ids(data, starts[other], ends[other])
+            pool = np.concatenate([pool[: self.used], ids])
+            count[other], begin[other] = more, self.used + np.cumsum(more) - more
         before = np.concatenate([[0], np.cumsum(count)])
-        return gather(self.pool, self.at[slot], count), before[np.searchsorted(starts, offsets)]
+        return gather(pool, begin, count), before[np.searchsorted(starts, offsets)]
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        return self.words.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The pre-tokens, which cover data without a gap, whose bytes are not those kept in their slot."""
+        size = ends - starts
+        odd = size != self.text_len[slot]
+        if odd.any():
+            return np.flatnonzero(odd | ~np.array([data[a:b].tobytes() == self.text[t : t + b - a].tobytes() for a, b, t in zip(starts.tolist(), ends.tolist(), self.text_at[slot].tolist())]))
+        differ = np.flatnonzero(gather(self.text, self.text_at[slot], size) != data[starts[0] :])
+        return np.unique(np.searchsorted(starts, differ + starts[0], "right") - 1)
+
+
+def _extended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The pool with more written behind its used part; doubled as often as that needs."""
+    while used + len(more) > len(pool):
+        pool = np.concatenate([pool, np.zeros_like(pool)])
+    pool[used : used + len(more)] = more
+    return pool
 
 
 _encoders: dict[tuple[type, str], Encoder] = {}

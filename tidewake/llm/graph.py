@@ -25,6 +25,8 @@ def components(links: DataFrame, work: Work, name: str = "links") -> DataFrame:
     until neither changes the table. The number of rounds grows with the logarithm of the component's size.
     """
     table = work.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
+    if table.isEmpty():
+        return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen, k = None, 0
     while True:
         both = table.unionAll(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,8 +36,7 @@ def components(links: DataFrame, work: Work, name: str = "links") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         after = work.save(small, f"{name}-{k + 1}")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(f"{name}-{k}-large")
-        work.drop(f"{name}-{k}")
+        work.drop(f"{name}-{k}-large", f"{name}-{k}")
         if state == seen:
             break
         seen, table, k = state, after, k + 1

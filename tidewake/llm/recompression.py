@@ -193,6 +193,7 @@ def marked(docs: DataFrame, window: int = 20, name: str = "spans") -> DataFrame:
     work = Work(docs.sparkSession, "recompression")
     keys = work.save(anchors(docs, window, full=False).groupBy("key").count().filter("count > 1").select("key"), "keys")
     near = work.save(anchors(docs, window, full=True).join(keys, "key"), "segments")
+    work.drop("keys")
     wordings = work.save(near.groupBy("key", "c1", "c2", "n").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")), "wordings")
     several = wordings.groupBy("key").count().filter("count > 1").select("key")
     compared = wordings.withColumn("k", F.xxhash64("key")).join(several.withColumn("k", F.xxhash64("key")), ["k", "key"]).select("first.doc", "first.start", "n")
@@ -203,6 +204,7 @@ def marked(docs: DataFrame, window: int = 20, name: str = "spans") -> DataFrame:
     pieces = windows(texts.select(F.col(doc).alias("doc"), "doc_id", "text").join(compared, "doc"), window)
     pieces = work.save(pieces, "windows")
     found = work.save(_spans(repeated.unionAll(_later(pieces, ["w1", "w2"]).select("doc", "start", F.lit(1).alias("n"))), name), "spans")
+    work.keep("spans")
     return texts.join(found.withColumnRenamed("doc", doc), doc, "left").drop(doc)
 
 

@@ -6,11 +6,11 @@ meet are at most r bits apart, which a check of the differing bits confirms. A v
 size of distinct fingerprints, whatever the copies: equal documents share one fingerprint, and it is fingerprints that
 are dealt out. Within a group links join neighbours in order; that keeps every component.
 
-`near_duplicates` joins all pairs of at least a given Jaccard similarity of word shingles. Fingerprints of several seeds
-are taken over a document's distinct words, and neighbours that meet in any of them are compared exactly; that links most
-copies cheaply. All other pairs come from an exact prefix filter: of two sets with that similarity, the first shingles of
-either, in any one order of all shingles, have one in common. The order is from rare to frequent by a sketch of counts, so
-the sketch's errors cost time and no pair.
+`near_duplicates` joins all pairs of at least a given Jaccard similarity of word shingles. Equal word sequences are one
+class from the start. Fingerprints of several seeds are taken over a document's distinct words, and classes that meet in
+any of them are compared exactly; that links most copies cheaply. All other pairs come from an exact prefix filter: of two
+sets with that similarity, the first shingles of either, in any one order of all shingles, have one in common. The order
+is from rare to frequent by a sketch of counts, so the sketch's errors cost time and no pair.
 
 Cases: a null or empty text has no words and fingerprint zero; fewer words than a shingle give one shingle; rows with
 equal ids are rows of one document; a row without an id has a fingerprint and gets the class of its fingerprint (null,
@@ -19,6 +19,7 @@ if no row with an id shares the class) and is never removed; an empty table give
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,22 +28,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewake.llm.common import BASES, Work, few, mix, span_hashes, text_chunks
 from tidewake.llm.graph import components
 
 SEED = 42
-#: Seeds, bits and radius of the candidate fingerprints of near_duplicates: 32 bits of each of these seeds.
-TABLE_SEEDS = (1, 2, 3, 4, 5, 6)
-TABLE_BITS = 32
+#: Seeds of the candidate fingerprints of near_duplicates, of 64 bits each; each half is a fingerprint of its own.
+TABLE_SEEDS = (1, 2)
+HALF_BITS = 32
+#: Differing bits of 64 of the shingles' fingerprint beyond which a meeting is left to the prefix filter: at a similarity
+#: of 0.8 some 10 differ, of unrelated texts 32.
+NEAR_BITS = 22
 #: Counters of the sketch that orders shingles, and counters of a row of it.
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
-#: Bytes of text whose shingles are made at a time for the prefix filter.
+#: Texts of a task that must have one of a counter's shingles for the counter to be reported.
+HEAVY = 4
+#: Bytes of text whose shingles are made at a time.
 SPAN_BYTES = 1 << 18
 #: Classes of one shingle that are compared with each other at a time; more are dealt into parts, and pairs of parts.
 PART_ROWS = 1000
-#: Feature values of a chunk whose bits are counted at a time.
-COUNTED = 1 << 17
+#: Feature values whose bits are counted in one byte lane, and such groups that are added up at a time.
+LANE, LANES = 255, 512
+#: For each byte, its bits in eight byte lanes.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -70,20 +79,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def majority(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text, the 64 bits that are set in over half of its values; first has where each text's values start."""
-    n = len(first) - 1
-    counts = np.zeros((n + 1, 64), np.int64)
-    total = np.zeros(64, np.int64)
-    cut = np.searchsorted(first, np.arange(0, len(values) + COUNTED, COUNTED))
-    for block, a in enumerate(range(0, len(values), COUNTED)):
-        bits = np.unpackbits(values[a : a + COUNTED].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.cumsum(bits, axis=0, dtype=np.int32)
-        here = slice(cut[block], cut[block + 1])
-        inner = first[here] - a
-        counts[here] = np.where(inner[:, None] > 0, sums[np.maximum(inner - 1, 0)], 0) + total
-        total = total + sums[-1]
-    counts[first >= len(values)] = total
-    most = np.diff(counts, axis=0) * 2 > np.diff(first)[:, None]
-    return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+    n, size = len(first) - 1, np.diff(first)
+    groups = -(-size // LANE)
+    row = np.repeat(np.arange(n), groups)
+    start = first[row] + LANE * (np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups))
+    counts = np.zeros((n, 64), np.int64)
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(row), LANES):
+        some, who = start[a : a + LANES], row[a : a + LANES]
+        end = start[a + LANES] if a + LANES < len(start) else len(values)
+        lanes = np.add.reduceat(SPREAD[raw[some[0] : end]], some - some[0], axis=0).view(np.uint8)
+        at = np.flatnonzero(np.diff(who, prepend=-1))
+        counts[who[at]] += np.add.reduceat(lanes, at, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def shingle_values(data: np.ndarray, offsets: np.ndarray, size: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -139,185 +147,225 @@ def similar_classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def signatures(docs: DataFrame, seeds: tuple[int, ...], bits: int) -> DataFrame:
-    """(doc_id, h1, h2, blocks): 128 bits of the word sequence, and a fingerprint of the distinct words for each seed."""
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (row, value), sorted."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[fresh], value[fresh]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.uint64((1 << bits) - 1)
-        for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                joined, starts, ends, first = words(lower(data), offsets)
-                edge = np.append(starts, len(joined))[first]
-                whole = [span_hashes(joined, edge[:-1], edge[1:], base).view(np.int64) for base in BASES]
-                row = np.repeat(np.arange(b - a), np.diff(first))
-                value = span_hashes(joined, starts, ends)
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-                row, value = row[fresh], value[fresh]
-                at = np.searchsorted(row, np.arange(b - a + 1))
-                sets = [majority(_salted(value, s), at) & keep for s in seeds]
-                blocks = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * len(seeds)), pa.array(np.stack(sets, axis=1).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole[0]), pa.array(whole[1]), blocks], ["doc_id", "h1", "h2", "blocks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 bigint, h2 bigint, blocks array<bigint>")
+def _shingles(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and last word of every shingle; fewer words than a shingle are one."""
+    n = np.diff(first)
+    count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
+    row = np.repeat(np.arange(len(n)), count)
+    a = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, a, np.minimum(a + size, first[row + 1]) - 1
+
+
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the distinct shingles of the texts, sorted within a text."""
+    joined, starts, ends, first = words(lower(data), offsets)
+    row, a, b = _shingles(first, size)
+    return _distinct(row, span_hashes(joined, starts[a], ends[b]))
 
 
 def _salted(value: np.ndarray, seed: int) -> np.ndarray:
     return mix(value + np.uint64(seed * BASES[0] & (1 << 64) - 1))
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles): the distinct shingle values of each document."""
+def signatures(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
+    """(doc_id, h1, h2, near, blocks, heavy) of each document with an id, and a row without one for each task.
+
+    h1 and h2 are a 128-bit BLAKE2 digest of the word sequence, near the fingerprint of the distinct shingles, blocks the
+    halves of the fingerprints of the distinct words. A task's row has the counters of the sketch that at least HEAVY of
+    its texts have a shingle of, with that number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                values, at = shingle_values(data, offsets, size)
-                sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>")
-
-
-def _span_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(a, b, row, value) of chunks of texts: the distinct shingles of rows a to b, sorted within a row."""
-    for a, b, data, offsets in text_chunks(column, SPAN_BYTES):
-        joined, starts, ends, first = words(lower(data), offsets)
-        n = np.diff(first)
-        count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
-        row = np.repeat(np.arange(b - a), count)
-        x = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        y = np.minimum(x + size, first[row + 1]) - 1
-        value = span_hashes(joined, starts[x], ends[y])
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        yield a, b, row[fresh], value[fresh]
-
-
-def frequency(texts: DataFrame, size: int) -> np.ndarray:
-    """A level for each counter of a sketch: eight a doubling of the texts that have one of the counter's shingles."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            for _, _, _, value in _span_sets(batch.column(0), size):
-                at, n = np.unique(value & np.uint64(SKETCH - 1), return_counts=True)
-                held[at.astype(np.int64)] += n.astype(np.uint32)
-        if held.any():
-            rows = np.minimum(held, 255).astype(np.uint8).reshape(-1, SKETCH_ROW)
-            for k, r in enumerate(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary())], ["k", "counts"])
-
-    def total(rows: pa.Table) -> pa.Table:
-        out = np.zeros(SKETCH_ROW, np.uint32)
-        for r in rows["counts"]:
-            out += np.frombuffer(r.as_buffer(), np.uint8)
-        return pa.table({"k": rows["k"].slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    parts = texts.select("text").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(total, "k int, counts binary").collect()
+            for a, b, data, offsets in text_chunks(batch.column(1), SPAN_BYTES):
+                joined, starts, ends, first = words(lower(data), offsets)
+                edge = np.append(starts, len(joined))[first].tolist()
+                raw = memoryview(joined)
+                whole = np.frombuffer(b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(edge, edge[1:])), np.int64).reshape(-1, 2)
+                rows = np.arange(b - a + 1)
+                row, value = _distinct(np.repeat(rows[:-1], np.diff(first)), span_hashes(joined, starts, ends))
+                at = np.searchsorted(row, rows)
+                sets = np.stack([majority(_salted(value, s), at) for s in seeds], axis=1)
+                halves = np.stack([sets & np.uint64((1 << HALF_BITS) - 1), sets >> np.uint64(HALF_BITS)], axis=2).reshape(-1).view(np.int64)
+                row, x, y = _shingles(first, size)
+                row, value = _distinct(row, span_hashes(joined, starts[x], ends[y]))
+                np.add.at(sketch, (value & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                near = majority(mix(value), np.searchsorted(row, rows)).view(np.int64)
+                blocks = pa.ListArray.from_arrays(pa.array(rows * (2 * len(seeds)), pa.int32()), pa.array(halves))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(near), blocks, pa.nulls(b - a, counted)], names)
+        heavy = np.flatnonzero(sketch >= HEAVY)
+        pairs = pa.StructArray.from_arrays([pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], ["counter", "n"])
+        told = pa.ListArray.from_arrays(pa.array([0, len(heavy)], pa.int32()), pairs)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.list_(pa.int64())), told], names)
+
+    names, counted = ["doc_id", "h1", "h2", "near", "blocks", "heavy"], pa.list_(pa.struct([("counter", pa.int64()), ("n", pa.int64())]))
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 bigint, h2 bigint, near bigint, blocks array<bigint>, heavy array<struct<counter: bigint, n: bigint>>")
+
+
+def frequency(heavy: DataFrame) -> np.ndarray:
+    """A level for each counter of a sketch, eight a doubling of the texts that tasks report, from their lists `heavy`."""
+
+    def row(group: pa.Table) -> pa.Table:
+        out = np.zeros(SKETCH_ROW, np.uint8)
+        n = np.asarray(group["n"]).astype(np.float64)
+        out[np.asarray(group["counter"]) % SKETCH_ROW] = np.minimum(np.log2(np.maximum(n, 1)) * 8, 255)
+        return pa.table({"k": group["k"].slice(0, 1), "levels": pa.array([out.tobytes()], pa.binary())})
+
+    told = heavy.select(F.explode("heavy").alias("x")).groupBy("x.counter").agg(F.sum("x.n").alias("n"))
+    rows = told.select(F.floor(F.col("counter") / SKETCH_ROW).cast("int").alias("k"), "counter", "n").groupBy("k").applyInArrow(row, "k int, levels binary").collect()
     out = np.zeros(SKETCH, np.uint8)
-    for r in parts:
-        level = np.log2(np.maximum(np.frombuffer(r["counts"], np.uint32), 1).astype(np.float64)) * 8
-        out[r["k"] * SKETCH_ROW : (r["k"] + 1) * SKETCH_ROW] = np.minimum(level, 255)
+    for r in rows:
+        out[r["k"] * SKETCH_ROW : (r["k"] + 1) * SKETCH_ROW] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
+def ball_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of classes (class, near, blocks) that meet in the ball of one of their blocks.
+
+    A class is paired with the least class of a ball's value and with the one before it in the order of the shingles'
+    fingerprint, if that fingerprint allows the similarity; so a value gives at most two pairs for each of its classes.
+    """
+    masks = F.array(*[F.lit(m).cast("bigint") for m in ball(HALF_BITS, radius // 2)])
+    block = classes.select("class", "near", F.posexplode("blocks").alias("seed", "fp"))
+    block = block.withColumn("fp", F.shiftleft(F.col("seed").cast("bigint"), HALF_BITS).bitwiseOR(F.col("fp")))
+    met = block.select("class", "near", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    group, me = Window.partitionBy("value"), F.struct("class", "near")
+    met = met.select("class", "near", F.min(me).over(group).alias("least"), F.lag(me).over(group.orderBy("near", "class")).alias("before"))
+    pairs = met.select("class", "near", F.explode(F.array("least", "before")).alias("other")).filter("other is not null and other.class <> class")
+    pairs = pairs.filter(F.bit_count(F.col("near").bitwiseXOR(F.col("other.near"))) <= NEAR_BITS)
+    return pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which the texts (doc_id, text) have at least the Jaccard similarity of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            both = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+            keep = []
+            for a, _, data, offsets in text_chunks(both, SPAN_BYTES, step=2):
+                row, value = _shingle_sets(data, offsets, size)
+                count = np.bincount(row, minlength=len(offsets) - 1).reshape(-1, 2)
+                pair = row // 2
+                order = np.lexsort((value, pair))
+                twice = (pair[order][1:] == pair[order][:-1]) & (value[order][1:] == value[order][:-1])
+                common = np.bincount(pair[order][1:][twice], minlength=len(count))
+                keep.append(a // 2 + np.flatnonzero(common >= similarity * (count.sum(axis=1) - common)))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *keep]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(few(pairs.select("a", "b")), "a")
+    wanted = texts.join(few(pairs.select(F.col("b").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    return left.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def prefixes(texts: DataFrame, size: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """(shingle, class, root, n) of the shingles that come first in each text: n has n - ceil(similarity n) + 1 of them."""
+    """(shingle, class, root, n, rank) of the shingles that come first in each text: n has n - ceil(similarity n) + 1 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, row, value in _span_sets(batch.column(2), size):
+            for a, b, data, offsets in text_chunks(batch.column(2), SPAN_BYTES):
+                row, value = _shingle_sets(data, offsets, size)
                 n = np.bincount(row, minlength=b - a)
                 order = np.lexsort((value, levels[(value & np.uint64(SKETCH - 1)).astype(np.int64)], row))
                 row, value = row[order], value[order]
                 rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 first = rank < (n - np.ceil(similarity * n - 1e-6) + 1)[row]
-                row, value = row[first], value[first]
+                row, value, rank = row[first], value[first], rank[first]
                 at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row].astype(np.int32))], ["shingle", "class", "root", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row].astype(np.int32)), pa.array(rank.astype(np.int32))], ["shingle", "class", "root", "n", "rank"])
 
     kind = texts.schema["class"].dataType.simpleString()
-    return texts.select("class", "root", "text").mapInArrow(run, f"shingle bigint, class {kind}, root {kind}, n int")
+    return texts.select("class", "root", "text").mapInArrow(run, f"shingle bigint, class {kind}, root {kind}, n int, rank int")
 
 
 def prefix_pairs(entries: DataFrame, similarity: float, work: Work) -> DataFrame:
-    """All pairs (a, b) of classes with different roots that may have the similarity, by the shingles of their prefixes.
+    """All pairs (a, b, a_root, b_root) of classes with different roots that may have the similarity, by common prefixes.
 
-    Of two sets, all common shingles up to the end of the prefix that ends first are in both prefixes; those and the
-    rest of that set bound what the sets have in common. A shingle of over PART_ROWS classes is compared in pairs of
-    parts, each a key of its own, so no task has all of it.
+    Sets of n and m shingles with the similarity have at least s / (1 + s) (n + m) in common, so their first common
+    shingle comes before what either can miss; in one of the two it is among the first (1 - s) / (1 + s) of the set
+    (slim). Only rows of which one is slim and one is not of the shingle's most frequent root are joined: classes that
+    are linked already are not compared, nor are texts that only end alike. A shingle of over PART_ROWS classes is
+    compared in pairs of parts, each a key of its own, so no task has all of it.
     """
-    group = Window.partitionBy("shingle")
-    met = entries.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group), "rows": F.count("*").over(group)}).filter("least <> most")
-    met = met.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
-    met = work.save(met.select("shingle", "class", "root", "n", "parts", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part")), "met")
-    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "class", "root", "n", "part")
-    side = lambda c: cells.select("shingle", "lo", "hi", *[F.col(x).alias(f"{c}_{x}") for x in ("class", "root", "n", "part")])
-    both = side("a").join(side("b"), ["shingle", "lo", "hi"])
-    both = both.filter("a_class < b_class and a_root <> b_root and (lo = hi or a_part <> b_part)")
-    both = both.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6)
-    shared = both.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(F.count("*").alias("c"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
-    rest = F.ceil(similarity * F.greatest("a_n", "b_n") - 1e-6) - 1
-    return shared.filter(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = TABLE_SEEDS, bits: int = TABLE_BITS, radius: int = 2) -> DataFrame:
-    """(doc_id, component_id) of every document that has a copy or near copy: the smallest doc_id of its group.
-
-    Equal word sequences are one class from the start. Classes emit their balls for every seed. In each group of one
-    value a class is compared with the least class and with the one before it in the order of the next seed's
-    fingerprint, by exact Jaccard similarity of shingles; so a group gives as many pairs as it has classes, and a class
-    meets the members of some 200 groups. Links that hold are joined to components. Then every pair of classes of
-    different components that the prefix filter cannot rule out is compared, so that no pair is lost.
+    share = similarity / (1 + similarity)
+    groups = entries.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows")).filter("least <> most")
+    groups = work.save(groups.select("shingle", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")), "groups")
+    key = F.xxhash64("shingle")
+    met = entries.withColumn("k", key).join(few(groups).withColumn("k", key), ["k", "shingle"])
+    slim = F.col("rank") <= F.col("n") * (1 - 2 * share) + 1e-5
+    met = work.save(met.select("shingle", "class", "root", "n", "rank", "parts", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), slim.alias("slim")), "met")
+    by_root = met.groupBy("shingle", "root").count()
+    major = work.save(by_root.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("major")), "major")
+    dealt = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    kinds = F.explode(F.when(F.col("slim"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("kind")
+    few_of = met.withColumn("k", key).join(few(major).withColumn("k", key), ["k", "shingle"]).filter("root <> major")
+    left = few_of.select("*", kinds).select("shingle", "kind", F.col("part").alias("lo"), dealt, *[F.col(c).alias(f"x_{c}") for c in ("class", "root", "n", "rank")]).withColumnRenamed("other", "hi")
+    right = met.select("shingle", F.col("slim").alias("kind"), F.col("part").alias("hi"), dealt, *[F.col(c).alias(f"y_{c}") for c in ("class", "root", "n", "rank")]).withColumnRenamed("other", "lo")
+    both = left.join(right, ["shingle", "kind", "lo", "hi"]).filter("x_root <> y_root")
+    least = F.ceil(share * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    both = both.filter((F.col("x_rank") <= F.col("x_n") - least) & (F.col("y_rank") <= F.col("y_n") - least))
+    swap = F.col("x_class") > F.col("y_class")
+    side = lambda c, one, two: F.when(swap, F.col(f"{one}_{c}")).otherwise(F.col(f"{two}_{c}"))
+    return both.select(side("class", "y", "x").alias("a"), side("class", "x", "y").alias("b"), side("root", "y", "x").alias("a_root"), side("root", "x", "y").alias("b_root")).distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = TABLE_SEEDS, radius: int = 2) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: the smallest doc_id of its group of copies and near copies.
+
+    Pairs that meet in a ball are compared by exact Jaccard similarity: first each class with its least partner, then
+    what the links so found leave in different components. Then every pair of classes of different components that the
+    prefix filter cannot rule out is compared, so that no pair is lost. Tables are deleted as soon as no step needs them.
     """
     work = Work(docs.sparkSession, "near-duplicates")
     named = docs.select("doc_id", "text").filter("doc_id is not null")
-    signed = work.save(signatures(named, seeds, bits), "signatures")
-    same = work.save(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "blocks")).alias("least")).select("h1", "h2", F.col("least.doc_id").alias("class"), F.col("least.blocks").alias("blocks")), "same")
-    masks = F.array(*[F.lit(m).cast("bigint") for m in ball(bits, radius // 2)])
-    block = same.select("class", "blocks", F.posexplode("blocks").alias("seed", "fp"))
-    after = F.element_at("blocks", (F.col("seed") + 1) % len(seeds) + 1)
-    block = block.select("class", after.alias("after"), F.shiftleft(F.col("seed").cast("bigint"), bits).bitwiseOR(F.col("fp")).alias("fp"))
-    met = block.select("class", "after", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    group = Window.partitionBy("value")
-    near = met.select("class", F.min("class").over(group).alias("least"), F.lag("class").over(group.orderBy("after", "class")).alias("before"))
-    other = F.explode(F.array("least", "before")).alias("other")
-    pairs = near.filter("before is not null or least <> class").select("class", other).filter("other is not null and other <> class")
-    pairs = work.save(pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "pairs")
-
-    def alike(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose shingles have the similarity."""
-        wanted = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-wanted")
-        sets = work.save(shingle_sets(named.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), f"{name}-sets")
-        a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        found = pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
-        return work.save(found, f"{name}-found")
-
-    found = alike(pairs, "balls")
-    rooted = components(found, work).withColumnRenamed("node", "class")
-    classes = work.save(same.select("class").join(rooted, "class", "left").withColumn("root", F.coalesce("root", "class")), "classes")
+    told = work.save(signatures(named, size, seeds), "signatures")
+    signed = told.filter("doc_id is not null")
+    least = F.min(F.struct("doc_id", "near", "blocks")).alias("least")
+    same = work.save(signed.groupBy("h1", "h2").agg(least).select("h1", "h2", F.col("least.doc_id").alias("class"), "least.near", "least.blocks"), "same")
+    pairs = work.save(ball_pairs(same, radius), "pairs")
+    links = work.save(alike(pairs.groupBy("b").agg(F.min("a").alias("a")), named, size, similarity), "first")
+    root = components(links, work, "balls")
+    for end in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    more = work.save(pairs.filter("a_root <> b_root").select("a", "b"), "open")
+    links = work.save(links.unionAll(work.save(alike(more, named, size, similarity), "second")), "links")
+    root = components(links, work, "linked").withColumnRenamed("node", "class")
+    classes = work.save(same.select("class").join(root, "class", "left").withColumn("root", F.coalesce("root", "class")), "classes")
+    levels = frequency(told.filter("doc_id is null").select("heavy"))
+    work.keep("signatures", "same", "classes")
     texts = named.join(few(classes.withColumnRenamed("class", "doc_id")), "doc_id").withColumnRenamed("doc_id", "class")
-    entries = prefixes(texts, size, similarity, frequency(texts, size))
-    more = alike(work.save(prefix_pairs(entries, similarity, work), "rest"), "prefixes")
-    rooted = components(found.unionAll(more), work, "all").withColumnRenamed("node", "class")
-    roots = same.join(rooted, "class", "left").select("h1", "h2", F.coalesce("root", "class").alias("root"))
-    roots = work.save(roots, "roots")
-    return signed.join(roots, ["h1", "h2"]).select("doc_id", F.col("root").alias("component_id"))
+    entries = work.save(prefixes(texts, size, similarity, levels), "entries")
+    rest = work.save(prefix_pairs(entries, similarity, work), "rest")
+    work.keep("signatures", "same", "classes", "rest")
+    found = alike(rest.select("a", "b"), named, size, similarity).join(rest, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    final = components(work.save(found, "found"), work, "all").select(F.col("node").alias("root"), F.col("root").alias("component_id"))
+    of_class = classes.join(final, "root", "left").select("class", F.coalesce("component_id", "root").alias("component_id"))
+    of_class = same.select("h1", "h2", "class").join(of_class, "class").select("h1", "h2", "component_id")
+    out = work.save(signed.select("doc_id", "h1", "h2").join(of_class, ["h1", "h2"]).select("doc_id", "component_id"), "components")
+    work.keep("components")
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without their copies and near copies: of each group the one with the smallest doc_id stays."""
+    work = Work(docs.sparkSession, "copies")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():  # rows of one id: the first by text stays
         order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         docs = docs.withColumn("_row", F.row_number().over(order)).filter("_row = 1 or doc_id is null").drop("_row")
-    gone = near_duplicates(docs, size, similarity).filter("doc_id <> component_id").select("doc_id")
-    gone = Work(docs.sparkSession, "copies").save(gone, "gone")
+    gone = work.save(near_duplicates(docs, size, similarity).filter("doc_id <> component_id").select("doc_id"), "gone")
     return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
