@@ -82,6 +82,38 @@ def test_odd_texts_have_no_language(spark, odd):
     assert langid.identify(digits, net).first().lang_pred == "und"
 
 
+def test_no_labelled_language_is_lost(spark):
+    """A language with one text, in thousands of copies, and one with a single row are learned beside a large one."""
+    docs = spark.createDataFrame([(k, "le chat est assis sur la table rouge " * 5, "fr") for k in range(3000)] + [(5000 + k, f"the dog number {k} runs over the green hill", "en") for k in range(3000)] + [(9000, "der hund schläft unter dem großen baum " * 5, "de")], "doc_id bigint, text string, lang string").repartition(4)
+    found = langid.sample(docs, F.lit(True))
+    assert {k for k, _ in found} == {"fr", "en", "de"}
+    got = langid.identify(docs, langid.train(found)).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang <> 'de' and lang <> lang_pred").count() == 0
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Each window by loops over filters and places, and the mean by bytes."""
+    docs = table(spark, SF, "documents").limit(12)
+    net = langid.fitted(table(spark, SF, "documents"))
+
+    def windows(raw):
+        for a in range(0, len(raw), langid.WINDOW):
+            piece = raw[a : a + langid.WINDOW]
+            x = net.vectors[np.array([*piece, *[256] * (langid.WINDOW - len(piece))])]
+            tops = [max(0.0, max(float(x[i : i + w].ravel() @ f[:, j]) for i in range(langid.WINDOW - w + 1)) + float(b[j])) for w, f, b in zip(langid.WIDTHS, net.filters, net.bias) for j in range(f.shape[1])]
+            z = np.array(tops) @ net.weights + net.offset
+            p = np.exp(z - z.max())
+            yield len(piece), p / p.sum()
+
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and len(r.text) < 1500}
+    got = {r.doc_id: r for r in langid.identify(docs, net).collect()}
+    for d, text in texts.items():
+        if got[d].lang_pred != "und":
+            each = list(windows(text.encode()))
+            p = sum(n * x for n, x in each) / sum(n for n, _ in each)
+            assert got[d].lang_pred == net.languages[int(p.argmax())] and abs(got[d].score - p.max()) < 1e-4
+
+
 def brute(ids, x, queries, k=5):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = {}
@@ -93,12 +125,13 @@ def brute(ids, x, queries, k=5):
     return out
 
 
-def test_recall_against_brute_force(spark):
-    rows = table(spark, "/root/testdata/sf0.01", "embeddings").collect()
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_against_brute_force(spark, scale):
+    rows = table(spark, f"/root/testdata/{scale}", "embeddings").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     want = brute(ids, x, np.flatnonzero(ids % 50 == 0))
     got: dict[int, list] = {}
-    for r in q_vectors.op8_multiprobe(spark, "/root/testdata/sf0.01").orderBy("query_id", "rank").collect():
+    for r in q_vectors.op8_multiprobe(spark, f"/root/testdata/{scale}").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert np.mean([len({v for v, _ in got.get(q, [])} & {v for v, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
     place = {int(i): k for k, i in enumerate(ids)}
@@ -108,6 +141,29 @@ def test_recall_against_brute_force(spark):
             assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def test_recall_where_most_queries_have_near_copies(spark):
+    """Nine tenths of the vectors in groups of near copies, the others without any: both kinds keep their recall."""
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(90, 32))
+    x = np.concatenate([np.repeat(heads, 30, axis=0) + rng.normal(scale=0.01, size=(2700, 32)), rng.normal(size=(300, 32))])
+    x = x[rng.permutation(len(x))]
+    ids = np.arange(len(x))
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(ids, x, np.flatnonzero(ids % 50 == 0))
+    alone = [q for q, w in want.items() if w[-1][1] < 0.9]
+    recall = {q: len(got[q] & {v for v, _ in w}) / 5 for q, w in want.items()}
+    assert alone and np.mean([recall[q] for q in alone]) >= 0.9 and np.mean(list(recall.values())) >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e-320, 3e-320]), (3, [1.5e308, -1.5e308]), (4, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 4, 3] and all(abs(r.score - 1) < 1e-12 for r in got[:3]) and abs(got[3].score) < 1e-12
+
+
 def test_odd_vectors_and_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "SUCCESS", 0.999)
     nan = float("nan")
@@ -135,3 +191,19 @@ def test_pipeline(spark):
     assert sizes[0] * 0.7 < sizes[-1] <= sizes[-2] < sizes[0]
     pieces = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_on_odd_documents(spark, odd):
+    """Every stage on nulls, empty and repeated rows and clashing columns, and on no rows at all."""
+    import corpus_pipeline
+    from tidewake.llm.common import Work
+
+    for docs in (odd, odd.filter("false")):
+        work, kept = Work(spark, "odd"), docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = work.save(stage(spark, kept, SF), name)
+            assert kept.columns == docs.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
+        ids = {r.doc_id for r in kept.collect()}
+        assert not ids & {1, 2, 3, 6, 10} and (docs is not odd or {4, 7, 11} <= ids)

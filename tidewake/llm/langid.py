@@ -52,17 +52,19 @@ class Network:
 def sample(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", windows: int = SAMPLE_WINDOWS, most: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """At most `windows` windows for each language, from at most `most` labelled documents of each.
 
-    Languages are counted first; then each language gives the share of its rows that makes about `most` of them, chosen
-    by a hash of the text, so the sample is spread over all rows and does not depend on how rows lie. A text counts once,
-    however many copies it has, so the sample stays bounded.
+    The different texts of each language are counted first; then each language gives the share of them that makes about
+    `most`, chosen by a hash of the text, so the sample is spread over all rows, does not depend on how rows lie, and a
+    text counts once however many copies it has. The text of the least hash is taken in any case, so no language that a
+    labelled row has is lost.
     """
-    rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.25 * most / n))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    chosen = rows.filter(place < share[F.col("lang")] * (1 << 20)).withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.25 * most / max(n, 1)))])
+    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    least = rows.groupBy("lang").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h")).select("text", "lang", "h")
+    chosen = chosen.unionByName(least).dropDuplicates(["h", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
