@@ -68,6 +68,24 @@ def test_later_records_survive_damage(packed, damage):
     assert len(gaps) == 1 and gaps[0].offset == sum(map(len, parts[:2])) and gaps[0].length == len(parts[2]) and gaps[0].reason
 
 
+@pytest.mark.parametrize("held", [8 << 20, 500])
+def test_records_inside_a_whole_member_are_salvaged(monkeypatch, held):
+    """Of five records in one member only the damaged third is lost; a long content is read in pieces."""
+    monkeypatch.setattr(warc, "HELD", held)
+    monkeypatch.setattr(warc, "BLOCK", max(64, held // 5))
+    parts = members(packed=False)
+    bad = bytearray(parts[2])
+    bad[-30] ^= 255
+    whole = b"".join([*parts[:2], bytes(bad), *parts[3:]])
+    lone = warc.member(warc.response(9, "http://x/9", b"after"))
+    found = salvaged(warc.member(whole) + lone)
+    assert [r.fields["warc-record-id"] if isinstance(r, warc.Record) else "gap" for r in found] == [*(f"<urn:page:{k}>" for k in (0, 1)), "gap", *(f"<urn:page:{k}>" for k in (3, 4, 9))]
+    assert f"bytes {len(b''.join(parts[:2]))} to {len(b''.join(parts[:3]))} " in found[2].reason and found[2].offset == 0
+    salvage = warc.Salvage(Bytes(warc.member(bytes(bad) + parts[3]) + warc.member(b"no record") + lone))
+    assert [type(r).__name__ for r in salvage.records()] == ["Gap", "Record", "Gap", "Record"] and len(salvage.gaps) == 2
+    assert [r.payload for r in salvaged(warc.member(b"".join(parts)))] == [r.payload for r in salvaged(b"".join(parts))]
+
+
 def test_damage_at_the_ends_and_nothing_at_all():
     assert salvaged(b"") == []
     (gap,) = salvaged(b"no archive at all" * 9)

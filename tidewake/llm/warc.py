@@ -5,7 +5,8 @@ to the next file at FILE_BYTES; the manifest lists the files of tasks that succe
 
 The reader checks each member's checksum, the header's form, the block's length, the blank lines after it and the
 payload's digest. After a failed check it looks for the next member or version line that reads well, goes on from
-there, and reports the bytes in between as a gap with its reason. Plain and compressed files are read alike.
+there, and reports the bytes in between as a gap with its reason. Plain and compressed files are read alike. A record that
+fails inside a whole member of several records is a gap of its own; a member that fails its checksum is one gap.
 
 Cases: a null html is an empty payload, a null url leaves the address out, a row without a page_id is a response of its
 own; rows of one page_id and equal payload are all responses if theirs is the largest; other columns are left out.
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,6 +36,8 @@ FILE_BYTES = 64 << 20
 LEVEL = 4
 #: Bytes that the reader fetches at a time.
 BLOCK = 1 << 18
+#: Bytes of a member's content that are kept; a longer content is inflated once to check it and again to read it.
+HELD = 8 << 20
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 #: A date for records whose time of capture is not known; fixed so that equal rows give equal records.
@@ -172,7 +176,10 @@ class Salvage:
             if bad is not None:
                 yield self.gap(bad, at, reason)
                 bad = None
-            yield from found
+            for r in found:
+                if isinstance(r, Gap) and r not in self.gaps:
+                    self.gaps.append(r)
+                yield r
             at = end
         if bad is not None:
             yield self.gap(bad, self.size, reason)
@@ -183,46 +190,107 @@ class Salvage:
 
     def search(self, at: int) -> int:
         """The next place at which a member or a version line starts."""
-        while at < self.size:
-            block = self.bytes_at(at, min(BLOCK, self.size - at))
-            places = [block.find(MEMBER)] + [m.start() for m in [VERSION.search(block)] if m]
-            places = [p for p in places if p >= 0]
-            if places:
-                return at + min(places)
-            if at + len(block) >= self.size:
-                return self.size
-            at += len(block) - 12
-        return self.size
-
-    def read(self, at: int) -> tuple[list[Record], int]:
+        return search(self.bytes_at, at, self.size, MEMBER)
+
+    def read(self, at: int) -> tuple[Iterator[Record | Gap], int]:
         start = self.bytes_at(at, 12)
         if start.startswith(MEMBER):
-            raw, end = self.inflate(at)
-            out, here = [], 0
-            while here < len(raw):
-                fields, block, size = parse(lambda a, n, raw=raw: raw[a : a + n], here, len(raw))
-                out.append(Record(at, end - at, fields, block))
-                here += size
-            if not out:
-                raise Damaged("empty member")
-            return out, end
+            content = Content(self.bytes_at, at, self.size)
+            inside = self.inside(at, content)
+            first = [r for r in [next(inside, None)] if r]
+            if first and isinstance(first[0], Gap):
+                first += [r for r in [next(inside, None)] if r]
+            if not first or isinstance(first[-1], Gap):
+                raise Damaged(first[0].reason if first else "empty member")
+            return chain(first, inside), content.end
         if VERSION.match(start):
             fields, block, size = parse(self.bytes_at, at, self.size)
-            return [Record(at, size, fields, block)], at + size
+            return iter([Record(at, size, fields, block)]), at + size
         raise Damaged("neither a member nor a version line")
 
-    def inflate(self, at: int) -> tuple[bytes, int]:
-        z, out, here = zlib.decompressobj(31), [], at
+    def inside(self, at: int, content: Content) -> Iterator[Record | Gap]:
+        """Records of a member that is whole; one that fails its checks is a gap up to the next good version line."""
+        here, bad, reason, length = 0, None, "", content.end - at
+        while here < content.size or bad is not None:
+            try:
+                found = parse(content.bytes_at, here, content.size) if here < content.size else None
+            except Damaged as e:
+                if bad is None:
+                    bad, reason = here, str(e)
+                here = search(content.bytes_at, here + 1, content.size)
+                continue
+            if bad is not None:
+                yield Gap(at, length, f"bytes {bad} to {here} of the member's content: {reason}")
+                bad = None
+            if found:
+                fields, block, size = found
+                yield Record(at, length, fields, block)
+                here += size
+
+
+class Content:
+    """What a gzip member holds, whose checksum is right: kept, or if it is long inflated again as it is read.
+
+    So a worker holds at most HELD bytes beside the record that it reads, however much a member inflates to.
+    """
+
+    def __init__(self, bytes_at, at: int, limit: int):
+        self.source, self.begin, self.limit, self.size, self.end, self.held, self.at, self.pieces = bytes_at, at, limit, 0, at, b"", 0, None
+        kept: list[bytes] | None = []
+        for piece, self.end in self.inflated():
+            self.size += len(piece)
+            if kept is not None:
+                kept.append(piece)
+                kept = kept if self.size <= HELD else None
+        if kept is not None:
+            self.held = b"".join(kept)
+
+    def inflated(self) -> Iterator[tuple[bytes, int]]:
+        """Pieces of the content with the place in the file after each."""
+        z, here = zlib.decompressobj(31), self.begin
         while not z.eof:
-            block = self.bytes_at(here, min(1 << 16, self.size - here)) if here < self.size else b""
+            block = z.unconsumed_tail or (self.source(here, min(1 << 16, self.limit - here)) if here < self.limit else b"")
             if not block:
                 raise Damaged("member is cut short")
+            here += 0 if z.unconsumed_tail else len(block)
             try:
-                out.append(z.decompress(block))
+                piece = z.decompress(block, BLOCK)
             except zlib.error as e:
                 raise Damaged(f"member: {e}") from None
-            here += len(block)
-        return b"".join(out), here - len(z.unused_data)
+            yield piece, here - len(z.unused_data)
+
+    def bytes_at(self, offset: int, n: int) -> bytes:
+        """Up to n bytes from offset; a long content is inflated up to there, from its start if that lies behind."""
+        n = max(0, min(n, self.size - offset))
+        if offset + n > self.at + len(self.held) or offset < self.at:
+            if self.pieces is None or offset < self.at:
+                self.pieces, self.at, self.held = self.inflated(), 0, b""
+            parts, have = [self.held], self.at + len(self.held)
+            while have < offset + n:
+                piece = next(self.pieces)[0]
+                have += len(piece)
+                parts.append(piece)
+                if have <= offset - BLOCK:
+                    self.at, parts = have, []
+            self.held = b"".join(parts)
+            if offset - self.at > BLOCK:  # what lies further behind is not asked for again, but for a failed record
+                cut = offset - self.at - BLOCK
+                self.at, self.held = self.at + cut, self.held[cut:]
+        return self.held[offset - self.at : offset - self.at + n]
+
+
+def search(bytes_at, at: int, size: int, member: bytes | None = None) -> int:
+    """The next place from `at` with a version line, or the start of a member if that is given; else size."""
+    while at < size:
+        block = bytes_at(at, min(BLOCK, size - at))
+        places = [m.start() for m in [VERSION.search(block)] if m] + ([block.find(member)] if member else [])
+        places = [p for p in places if p >= 0]
+        if places:
+            return at + min(places)
+        if at + len(block) >= size:
+            return size
+        at += len(block) - 12
+    return size
 
 
 def parse(bytes_at, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
