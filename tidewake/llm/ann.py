@@ -6,13 +6,15 @@ the probability, with a neighbour's projection normally distributed about the qu
 bucket. It stops when the visited buckets of a table hold SUCCESS of it. What the tables yield is merged, and the exact
 cosine in double precision ranks it.
 
-The width and the spread come from the true neighbours of SAMPLE_QUERIES queries against all rows. Equal vectors are one
-entry with their k + 1 smallest ids. Buckets of over BUCKET_ROWS entries are split into parts, each compared with all
+The width and the spread come from the true neighbours of SAMPLE_QUERIES queries against all rows. Queries that find fewer
+than k, or whose k-th lies further away than that spread serves, are compared with all rows in blocks: where most queries
+have near copies, the others do not suffer. Equal vectors are one entry with their k + 1 smallest ids. Buckets of over BUCKET_ROWS entries are split into parts, each compared with all
 queries that visit the bucket, so nothing is cut off; buckets are dealt into groups, and a group's queries and entries
 meet in one product of matrices.
 
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; only
-vectors of one dimension are compared; rows of one vec_id are not each other's neighbours; of repeated rows one counts;
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; very
+large or small finite components are scaled by a power of two first, so lengths neither overflow nor vanish; only vectors of
+one dimension are compared; rows of one vec_id are not each other's neighbours; of repeated rows one counts;
 a query with fewer than k candidates found gets those; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
@@ -38,7 +40,13 @@ BUCKET_ROWS = 4096
 #: Entries of a group of buckets.
 GROUP_ROWS = 20_000
 #: Entries that a bucket has on average.
-BUCKET_MEAN = 256
+BUCKET_MEAN = 64
+#: Times the spread that the k-th neighbour of a query may be away before the query is compared with all rows.
+BEYOND = 1.05
+#: Queries of a block of such comparisons.
+BLOCK_QUERIES = 4000
+#: Largest components outside these bounds are scaled.
+LEAST, MOST = 2.0**-400, 2.0**400
 STEPS = (0, -1, 1, -2, 2)
 SEED = 11
 
@@ -55,7 +63,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), x.alias("v"))
     bad = F.exists("v", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf")))
     zero = ~F.exists("v", lambda a: a != 0)
-    return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad & ~zero).withColumn("dim", F.size("v"))
+    v = v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad & ~zero).withColumn("dim", F.size("v"))
+    top = F.array_max(F.transform("v", F.abs))
+    half = F.pow(F.lit(2.0), F.floor(-F.log2("top") / 2))  # twice, as the whole factor may overflow
+    scaled = F.transform("v", lambda a: a * half * half)
+    return v.withColumn("top", top).select("vec_id", F.when(F.col("top").between(LEAST, MOST), F.col("v")).otherwise(scaled).alias("v"), "dim")
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
@@ -218,9 +230,26 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id
         done = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": done[0], "vec_id": done[1], "score": done[2]})
 
-    near = placed.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kind = "query_id bigint, vec_id bigint, score double"
+    near = work.save(top(placed.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(compare, kind)), "near")
+    work.drop("buckets")
+    last = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    served = last.filter((F.col("n") == k) & (F.col("least") >= 1 - (BEYOND * spread) ** 2 / 2))
+    far = work.save(queries.join(served.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "far")
+    blocks = int(far.count() // BLOCK_QUERIES + 1)
+    if far.isEmpty():
+        return near
+    # every block of queries meets every block of entries once, each pair of blocks in a task of its own
+    row_blocks, parts = int(max(12, n // GROUP_ROWS + 1)), GROUP_ROWS // BUCKET_ROWS + 1
+    q_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    e_block = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("e")
+    h = F.xxhash64("v")
+    all_rows = found.select(F.pmod(h, F.lit(row_blocks)).cast("int").alias("e"), F.pmod(F.xxhash64(h), F.lit(parts)).alias("key"), "ids", "v", q_block)
+    all_asked = far.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), F.col("vec_id").alias("query_id"), F.array(*[F.lit(x).cast("bigint") for x in range(parts)]).alias("keys"), "v", e_block)
+    more = all_rows.groupBy("e", "b").cogroup(all_asked.groupBy("e", "b")).applyInArrow(compare, kind)
+    return top(near.select("query_id", "vec_id", "score").unionAll(more))
 
 
 def _compare(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
