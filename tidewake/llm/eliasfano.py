@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import LibraryWords, encoder
-from tidewake.llm.common import Work, file_system, text_chunks
+from tidewake.llm.common import Work, chunks, file_system, text_chunks
 
 MAGIC = b"TWIDEF01"
 FOOTER = "<QQQQQB7x"  # rows, rows without an id, ids, bytes of the document ids' part, of the boundaries' part, bytes an id
 STRIDE = 256
-#: Rows whose boundaries are decoded and whose ids are read at a time.
-READ_ROWS = 2048
+#: Rows whose boundaries are decoded at a time, and ids that are read at a time (or those of one longer document).
+READ_ROWS, READ_IDS = 2048, 1 << 18
 
 
 class EliasFano:
@@ -164,10 +164,12 @@ def read_shards(manifest: DataFrame, work: Work) -> DataFrame:
                 shard = Shard(folder, name)
                 for a in range(0, shard.rows, READ_ROWS):
                     b = min(a + READ_ROWS, shard.rows)
-                    at = shard.offsets(a, b)
-                    raw = memoryview(shard.ids(int(at[0]), int(at[-1])).astype("<u4")).cast("B")
-                    cut = (4 * (at - at[0])).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys(a, b), pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array([zlib.crc32(raw[x:y]) for x, y in zip(cut, cut[1:])], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at, sums = shard.offsets(a, b), []
+                    for x, y in chunks(at - at[0], READ_IDS):
+                        raw = memoryview(shard.ids(int(at[x]), int(at[y])).astype("<u4")).cast("B")
+                        cut = (4 * (at[x : y + 1] - at[x])).tolist()
+                        sums += [zlib.crc32(raw[i:j]) for i, j in zip(cut, cut[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys(a, b), pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     plan = spark.createDataFrame(tasks, "file string, base bigint").repartition(max(1, len(tasks)))
     return plan.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

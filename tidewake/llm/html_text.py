@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm import gbt
+from tidewake.llm.common import chunks, text_bytes
 
 #: Pages whose sentences fill the training layouts, and training pages made of them.
 SAMPLE_PAGES = 200
 TRAIN_PAGES = 800
-#: Pages that are classified together.
-TOGETHER = 64
+#: Bytes of pages that are classified together (or one longer page).
+TOGETHER = 1 << 19
 
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 #: Elements whose content is raw text up to their end tag, and elements without article text of their own.
@@ -348,8 +349,8 @@ def extract(pages: DataFrame, trees: gbt.Trees, id_col: str = "page_id", html_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(a, TOGETHER)
+            for a, b in chunks(text_bytes(batch.column(1))[1], TOGETHER):
+                part = batch.slice(a, b - a)
                 parsed = [Page(s or "") for s in part.column(1).to_pylist()]
                 margin = trees.margin(np.concatenate([p.features() for p in parsed]))
                 cut = np.cumsum([len(p.tag) for p in parsed])[:-1]
@@ -359,8 +360,8 @@ def extract(pages: DataFrame, trees: gbt.Trees, id_col: str = "page_id", html_co
 
 
 def fitted(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES) -> gbt.Trees:
-    """Trees for a table of pages: at most `most` of them, those of least hash, give the words of the layouts."""
-    size = pages.filter(F.col(html_col).isNotNull()).count()
+    """Trees for a table of pages: at most `most` different ones, chosen by hash, give the words of the layouts."""
+    size = pages.filter(F.col(html_col).isNotNull()).agg(F.approx_count_distinct(F.xxhash64(html_col), 0.02)).first()[0]
     chosen = pages.filter(F.col(html_col).isNotNull()).filter(F.pmod(F.xxhash64(html_col), F.lit(1 << 20)) < min(1.0, 1.5 * most / max(1, size)) * (1 << 20)).select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

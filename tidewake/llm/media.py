@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidewake.llm.common import Work, text_bytes
+from tidewake.llm.common import Work, chunks, text_bytes
 
 #: A picture is SIDE columns wide; a payload is padded to whole tiles of SIDE x SIDE samples.
 SIDE = 24
@@ -146,8 +147,7 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a in range(0, len(offsets) - 1, 256):
-                b = min(a + 256, len(offsets) - 1)
+            for a, b in chunks(offsets):
                 media = []
                 for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist()):
                     samples = np.full(max(TILE, -(-(y - x) // TILE) * TILE), PAD, np.uint8)
@@ -168,8 +168,9 @@ def features(stored: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in FEATURES.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(a, 256), []
+            size = batch.column(2).fill_null(b"")
+            for a, b in chunks(np.concatenate([[0], np.cumsum(pc.binary_length(size).to_numpy(zero_copy_only=False).astype(np.int64))])):
+                part, rows = batch.slice(a, b - a), []
                 for raw in part.column(2):
                     raw = raw.as_py()
                     try:

@@ -26,7 +26,7 @@ ORACLE_SQL = {
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_table(table(spark, sf_dir, "documents")).drop("tile")
+    return media.media_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_warc": op1_warc, "op3_media": op3_media}
