@@ -160,6 +160,25 @@ def test_keep_one_on_odd_documents(spark, odd):
     assert simhash.keep_one(odd.filter("false")).count() == 0
 
 
+def thue_morse(a, b, n):
+    """Sequences that collide in every polynomial hash modulo 2**64."""
+    one, two = [a], [b]
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_colliding_words_and_word_sequences_stay_apart(spark):
+    one, two = ("".join(x) for x in thue_morse("a", "b", 2048))
+    docs = spark.createDataFrame([(1, f"{one} " + " ".join(f"x{k}" for k in range(30))), (2, two), (3, " ".join(thue_morse("p", "q", 2048)[0])), (4, " ".join(thue_morse("p", "q", 2048)[1]))], "doc_id bigint, text string")
+    assert {1, 2} <= {r.doc_id for r in simhash.keep_one(docs).collect()}
+    words_ = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {words_}"), (2, f"{two} {words_}")], "doc_id bigint, text string")
+    assert all(not r.spans for r in recompression.marked(docs).collect())
+    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert roots == {1: 1, 2: 2}
+
+
 def brute_windows(docs, size=20):
     """{doc: which words go} with rows of one id taken as one document."""
     first = {}

@@ -56,6 +56,32 @@ def test_special_tokens_long_words_and_a_full_store(vocabulary, library, monkeyp
             assert [encoded(coder, [t])[0] for t in texts] == wanted
 
 
+def thue_morse(a, b, n):
+    """Words that collide in every polynomial hash modulo 2**64 from 1,024 letters on."""
+    one, two = a, b
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_that_collide_modulo_a_power_of_two(vocabulary, library, letters):
+    texts = list(thue_morse("a", "b", letters))
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kind in (bpe.SegmentTreeWords, bpe.LibraryWords):
+        assert encoded(bpe.Encoder(kind(vocabulary)), texts) == wanted
+
+
+def test_equal_fingerprints_do_not_mix_words(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.minimum(ends - starts, 3).astype(np.uint64))
+    texts = ["one two three", "four five sixteen one", "a b c dd eee", "one two three"]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kind in (bpe.SegmentTreeWords, bpe.LibraryWords):
+        coder = bpe.Encoder(kind(vocabulary))
+        for _ in range(2):
+            assert encoded(coder, texts) == wanted and encoded(coder, texts[::-1]) == wanted[::-1]
+
+
 def digests_of(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
