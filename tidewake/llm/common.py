@@ -77,7 +77,7 @@ class Work:
 
 
 #: Rows of ids up to which a join may send them to all executors.
-FEW_IDS = 1_000_000
+FEW_IDS = 250_000
 
 
 def few(ids: DataFrame, most: int = FEW_IDS) -> DataFrame:
