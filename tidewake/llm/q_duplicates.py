@@ -24,7 +24,7 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.marked(table(spark, sf_dir, "documents"), WINDOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in recompression.sliced(batches):
             kept = [recompression.kept_words(text, spans, WINDOW) for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             n = pa.array([n for _, n in kept], pa.int64())
             removed = pa.array([n - len(x) for x, n in kept], pa.int64())

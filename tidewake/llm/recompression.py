@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import BASES, MIX, Work, chunks, mix, span_hashes, text_bytes, unused
 
 ROUNDS = 2
+#: Bytes of text whose words are named at a time.
+SPAN_BYTES = 1 << 18
 #: A missing doc_id, in comparisons.
 LAST = (1 << 63) - 1
 
@@ -129,10 +131,17 @@ class Words:
 def chunked(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(column))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, SPAN_BYTES):
             yield batch.slice(a, b - a), Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of CHUNK_BYTES of text, or one longer text."""
+    for batch in batches:
+        for a, b in chunks(text_bytes(batch.column(column))[1]):
+            yield batch.slice(a, b - a)
+
+
 def ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -250,7 +259,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, columns.index("text")):
             data = {c: batch.column(k) for k, c in enumerate(columns)}
             data["text"] = pa.array(cut(data["text"], batch.column(len(columns))), pa.string())
             if "n_chars" in data:

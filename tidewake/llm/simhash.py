@@ -305,15 +305,15 @@ def prefix_pairs(entries: DataFrame, similarity: float, work: Work) -> DataFrame
     groups = entries.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows")).filter("least <> most")
     groups = work.save(groups.select("shingle", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")), "groups")
     key = F.xxhash64("shingle")
-    met = entries.withColumn("k", key).join(few(groups).withColumn("k", key), ["k", "shingle"])
+    met = entries.withColumn("k", key).join(groups.withColumn("k", key), ["k", "shingle"])
     slim = F.col("rank") <= F.col("n") * (1 - 2 * share) + 1e-5
     met = work.save(met.select("shingle", "class", "root", "n", "rank", "parts", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), slim.alias("slim")), "met")
     by_root = met.groupBy("shingle", "root").count()
     major = work.save(by_root.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("major")), "major")
     dealt = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     kinds = F.explode(F.when(F.col("slim"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("kind")
-    few_of = met.withColumn("k", key).join(few(major).withColumn("k", key), ["k", "shingle"]).filter("root <> major")
-    left = few_of.select("*", kinds).select("shingle", "kind", F.col("part").alias("lo"), dealt, *[F.col(c).alias(f"x_{c}") for c in ("class", "root", "n", "rank")]).withColumnRenamed("other", "hi")
+    minor = met.withColumn("k", key).join(major.withColumn("k", key), ["k", "shingle"]).filter("root <> major")
+    left = minor.select("*", kinds).select("shingle", "kind", F.col("part").alias("lo"), dealt, *[F.col(c).alias(f"x_{c}") for c in ("class", "root", "n", "rank")]).withColumnRenamed("other", "hi")
     right = met.select("shingle", F.col("slim").alias("kind"), F.col("part").alias("hi"), dealt, *[F.col(c).alias(f"y_{c}") for c in ("class", "root", "n", "rank")]).withColumnRenamed("other", "lo")
     both = left.join(right, ["shingle", "kind", "lo", "hi"]).filter("x_root <> y_root")
     least = F.ceil(share * (F.col("x_n") + F.col("y_n")) - 1e-6)
