@@ -74,8 +74,17 @@ def simulate(fixes: DataFrame) -> DataFrame:
     return track.select("mmsi", "tier", "vessel_type", n.alias("n_in"), kept.alias("n_kept"))
 
 
+def _totals() -> list[Column]:
+    return [F.count("*").alias("tracks"), F.sum("n_in").alias("n_in"), F.sum("n_kept").alias("n_kept"), geo.rounded(100.0 * (1.0 - F.try_divide(F.sum("n_kept"), F.sum("n_in"))), 4).alias("pct_dropped")]
+
+
 def simulated_totals(sim: DataFrame, by: Column, name: str) -> DataFrame:
-    return sim.groupBy(by.alias(name)).agg(F.count("*").alias("tracks"), F.sum("n_in").alias("n_in"), F.sum("n_kept").alias("n_kept"), geo.rounded(100.0 * (1.0 - F.try_divide(F.sum("n_kept"), F.sum("n_in"))), 4).alias("pct_dropped"))
+    return sim.groupBy(by.alias(name)).agg(*_totals())
+
+
+def simulated_rollup(sim: DataFrame) -> DataFrame:
+    """By tier, and over all as tier `total`, from one pass."""
+    return sim.rollup("tier").agg(*_totals()).withColumn("tier", F.coalesce("tier", F.lit("total")))
 
 
 def journeys(fixes: DataFrame) -> DataFrame:

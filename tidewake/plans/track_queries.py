@@ -84,6 +84,11 @@ def _sim_tier(p, spark):
     return tracks.simulated_totals(tracks.simulate(p), F.col("tier"), "tier")
 
 
+@query("sim_total", sql.over_fast(f"SELECT coalesce(tier, 'total') AS tier, {TOTALS} FROM sim GROUP BY ROLLUP (tier)", SIM_WALK), fast=True)
+def _sim_total(p, spark):
+    return tracks.simulated_rollup(tracks.simulate(p))
+
+
 JOURNEYS = f"""cut AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > {sql.by_tier('lag(tier) OVER w', dims.SEVER_MS)} AND coalesce(lag(speed) OVER w, 0E0) <= 5E-1 AND NOT fake AND NOT lag(fake) OVER w THEN 1 ELSE 0 END AS c FROM seq WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id)),
     journeys AS (SELECT *, CAST(sum(c) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS journey FROM cut)"""
 
