@@ -32,6 +32,10 @@ def inside(lat: np.ndarray, lon: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The least size of a cell in km, and cells of the longer side of a grid at most; fixed values.
+FLOOR_KM, MAX_CELLS = 0.2, 4000
+
+
 @dataclass
 class Land:
     """Rings of land, less rings of water; a piece of water may have islands in it."""
@@ -83,49 +87,74 @@ def is_land(lat: Column, lon: Column, land: Land) -> Column:
 
 
 class Grid:
-    """Square cells over the box of a gap and a margin, with land, and the distance to land in cells."""
+    """Square cells over the box of a gap and a margin, with land, and the distance to land in cells.
+
+    Cells are looked at in tiles, when a search first comes to them, so memory follows the way and not the box.
+    """
+
+    TILE = 64
 
     def __init__(self, a: tuple[float, float], b: tuple[float, float], land: Land, max_cells: int, near_km: float = 4.0):
         direct = float(distance(*a, *b))
         margin = min(90.0, max(12.0, 0.6 * direct))
-        self.km = max(0.2, (direct + 2 * margin) / max_cells)
+        self.km = max(FLOOR_KM, (direct + 2 * margin) / max_cells)
         squeeze = np.cos(np.radians((a[0] + b[0]) / 2))
         self.dlat, self.dlon = self.km / KM, self.km / (KM * squeeze)
         self.south, self.west = min(a[0], b[0]) - margin / KM, min(a[1], b[1]) - margin / (KM * squeeze)
-        rows = int(np.ceil((max(a[0], b[0]) + margin / KM - self.south) / self.dlat)) + 1
-        cols = int(np.ceil((max(a[1], b[1]) + margin / (KM * squeeze) - self.west) / self.dlon)) + 1
-        lat, lon = np.meshgrid(self.south + self.dlat * np.arange(rows), self.west + self.dlon * np.arange(cols), indexing="ij")
-        self.land = land.is_land(lat.ravel(), lon.ravel()).reshape(rows, cols)
-        self.reach = min(8, max(1, round(near_km / self.km)))
-        self.away = np.full((rows, cols), self.reach)  # cells to the nearest land
-        grown = self.land
-        self.away[grown] = 0
-        for k in range(1, self.reach + 1):
-            wide = np.pad(grown, 1)
-            grown = sum(wide[i : i + rows, j : j + cols] for i in range(3) for j in range(3)) > 0
-            self.away[grown & (self.away > k)] = k
-        self.tight = self.away <= 1  # land or beside it
+        self.rows = int(np.ceil((max(a[0], b[0]) + margin / KM - self.south) / self.dlat)) + 1
+        self.cols = int(np.ceil((max(a[1], b[1]) + margin / (KM * squeeze) - self.west) / self.dlon)) + 1
+        self.reach, self.source = min(8, max(1, round(near_km / self.km))), land
+        self.tiles: dict[tuple[int, int], np.ndarray] = {}
+
+    def on_land(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether cells are land; beyond the box there is none."""
+        r, c = np.asarray(r), np.asarray(c)
+        within = (r >= 0) & (r < self.rows) & (c >= 0) & (c < self.cols)
+        return within & self.source.is_land(self.south + self.dlat * r, self.west + self.dlon * c)
+
+    def tile(self, i: int, j: int) -> np.ndarray:
+        """Cells to the nearest land of a tile's cells, at most `reach`: 0 is land, 1 lies beside it."""
+        if (i, j) not in self.tiles:
+            n, k = self.TILE, self.reach
+            r, c = np.meshgrid(i * n - k + np.arange(n + 2 * k), j * n - k + np.arange(n + 2 * k), indexing="ij")
+            grown = self.on_land(r.ravel(), c.ravel()).reshape(r.shape)
+            away = np.where(grown, 0, k)
+            for step in range(1, k):
+                if not grown.any():
+                    break
+                wide = np.pad(grown, 1)
+                grown = sum(wide[y : y + n + 2 * k, x : x + n + 2 * k] for y in range(3) for x in range(3)) > 0
+                away[grown & (away > step)] = step
+            self.tiles[i, j] = away[k : n + k, k : n + k]
+        return self.tiles[i, j]
+
+    def away(self, r: int, c: int) -> int:
+        return int(self.tile(r // self.TILE, c // self.TILE)[r % self.TILE, c % self.TILE])
 
     def cell(self, lat: float, lon: float) -> tuple[int, int] | None:
-        """The nearest water cell."""
-        r = int(np.clip(round((lat - self.south) / self.dlat), 0, self.land.shape[0] - 1))
-        c = int(np.clip(round((lon - self.west) / self.dlon), 0, self.land.shape[1] - 1))
-        wet = np.argwhere(~self.land)
-        if not len(wet):
-            return None
-        if not self.land[r, c]:
-            return r, c
-        return tuple(int(x) for x in wet[np.abs(wet - (r, c)).max(axis=1).argmin()])
+        """The nearest water cell, by rings around the place; None if there is none in the box."""
+        r = int(np.clip(round((lat - self.south) / self.dlat), 0, self.rows - 1))
+        c = int(np.clip(round((lon - self.west) / self.dlon), 0, self.cols - 1))
+        for k in range(max(self.rows, self.cols)):
+            side = np.arange(-k, k + 1)
+            ring = np.unique(np.concatenate([np.stack(x, axis=1) for e in (-k, k) for x in ((np.full(2 * k + 1, e), side), (side, np.full(2 * k + 1, e)))]), axis=0) + (r, c)
+            ring = ring[(ring[:, 0] >= 0) & (ring[:, 0] < self.rows) & (ring[:, 1] >= 0) & (ring[:, 1] < self.cols)]
+            wet = ring[~self.on_land(ring[:, 0], ring[:, 1])]
+            if len(wet):
+                return int(wet[0, 0]), int(wet[0, 1])
+        return None
 
     def place(self, r: int, c: int) -> tuple[float, float]:
         return self.south + r * self.dlat, self.west + c * self.dlon
 
-    def search(self, start: tuple[int, int], goal: tuple[int, int], closed: np.ndarray, narrow: float, courses: list) -> list[tuple[int, int]] | None:
-        """Cheapest way by A*; water near land costs more, and so do turns back at the ends."""
-        rows, cols = closed.shape
-        near = (self.reach - self.away) / self.reach
-        price = (1 + 2 * near + narrow * near * near).tolist()
-        shut, best, parent, done = closed.tolist(), {start: 0.0}, {}, set()
+    def search(self, start: tuple[int, int], goal: tuple[int, int], clearance: int, narrow: float, courses: list) -> list[tuple[int, int]] | None:
+        """Cheapest way by A* over cells that are further than `clearance` from land.
+
+        Water near land costs more, and so do turns back at the ends.
+        """
+        near = [(self.reach - d) / self.reach for d in range(self.reach + 1)]
+        price = [1 + 2 * x + narrow * x * x for x in near]
+        best, parent, done = {start: 0.0}, {}, set()
         steps = [(i, j, self.km * (i * i + j * j) ** 0.5) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
         ahead = lambda r, c: self.km * ((r - goal[0]) ** 2 + (c - goal[1]) ** 2) ** 0.5
         heap = [(ahead(*start), start)]
@@ -142,21 +171,24 @@ class Grid:
             r, c = at
             for i, j, length in steps:
                 n = (r + i, c + j)
-                if not (0 <= n[0] < rows and 0 <= n[1] < cols) or n in done or (shut[n[0]][n[1]] and n != goal):
+                if not (0 <= n[0] < self.rows and 0 <= n[1] < self.cols) or n in done:
+                    continue
+                away = self.away(*n)
+                if away <= clearance and n != goal:
                     continue
                 turn = 0.0
                 for (er, ec), (dy, dx) in courses:
                     d = self.km * ((r - er) ** 2 + (c - ec) ** 2) ** 0.5
                     if d < 4:
                         turn += 5 * max(0.0, -(i * dy + j * dx) / (i * i + j * j) ** 0.5) * (1 - d / 4)
-                cost = best[at] + length * (price[n[0]][n[1]] + turn)
+                cost = best[at] + length * (price[away] + turn)
                 if cost < best.get(n, np.inf):
                     best[n], parent[n] = cost, at
                     heapq.heappush(heap, (cost + ahead(*n), n))
         return None
 
 
-def route(a: tuple[float, float], b: tuple[float, float], land: Land, narrow: float = 3.0, entry: float | None = None, leave: float | None = None, max_cells: int = 400) -> list[tuple[float, float]] | None:
+def route(a: tuple[float, float], b: tuple[float, float], land: Land, narrow: float = 3.0, entry: float | None = None, leave: float | None = None, max_cells: int = MAX_CELLS) -> list[tuple[float, float]] | None:
     """Waypoints over water from a to b, ends included, or None if there is no way.
 
     First with a cell of clearance to land, else without; then cells between which a straight line is clear are left out.
@@ -167,8 +199,8 @@ def route(a: tuple[float, float], b: tuple[float, float], land: Land, narrow: fl
         return None
     course = lambda deg: (np.cos(np.radians(deg)), np.sin(np.radians(deg)))
     courses = [(p, course(d)) for p, d in ((start, entry), (goal, leave)) if d is not None and not np.isnan(d)]
-    for closed in (grid.tight, grid.land):
-        way = grid.search(start, goal, closed, narrow, courses)
+    for clearance in (1, 0):
+        way = grid.search(start, goal, clearance, narrow, courses)
         if way:
             break
     else:
@@ -178,7 +210,7 @@ def route(a: tuple[float, float], b: tuple[float, float], land: Land, narrow: fl
         n = max(1, 2 * max(abs(p[0] - q[0]), abs(p[1] - q[1])))
         f = np.linspace(0, 1, n + 1)
         r, c = np.rint(p[0] + (q[0] - p[0]) * f).astype(int), np.rint(p[1] + (q[1] - p[1]) * f).astype(int)
-        return not closed[r, c][1:-1].any() and not land.crosses(grid.place(*p), grid.place(*q), grid.km / 2)
+        return all(grid.away(x, y) > clearance for x, y in zip(r[1:-1].tolist(), c[1:-1].tolist())) and not land.crosses(grid.place(*p), grid.place(*q), grid.km / 2)
 
     kept = [way[0]]
     for k in range(2, len(way)):
@@ -241,7 +273,7 @@ def land_gaps(fixes: DataFrame, land: Land) -> DataFrame:
     return gaps.select("mmsi", "journey", F.col("a_t"), F.col("t").alias("b_t"), "a_lat", "a_lon", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "entry", "leave", "length")
 
 
-def water_routes(gaps: DataFrame, land: Land, max_cells: int = 400, full: bool = False) -> DataFrame:
+def water_routes(gaps: DataFrame, land: Land, max_cells: int = MAX_CELLS, full: bool = False) -> DataFrame:
     """(mmsi, segment, seq, t, lat, lon): the inferred points inside each gap that has a way over water.
 
     Without `full` only the points that the way needs are kept. Times are spread evenly over the full way.

@@ -187,13 +187,13 @@ def land() -> routing.Land:
 @query("route_water", None)
 def _route(p, spark):
     """All points of the ways over water across the gaps of every track."""
-    return routing.water_routes(routing.land_gaps(p, land()), land(), max_cells=150, full=True)
+    return routing.water_routes(routing.land_gaps(p, land()), land(), full=True)
 
 
 @query("harvest_segments", None)
 def _harvest(p, spark):
     """The points that a trail needs, with what a stored segment says of itself."""
-    return routing.water_routes(routing.land_gaps(p, land()), land(), max_cells=150)
+    return routing.water_routes(routing.land_gaps(p, land()), land())
 
 
 @query("region_validate", sql.over("SELECT CAST(mmsi AS VARCHAR) AS region, CAST(ts // 86400000 AS INT) AS ring_id, CASE WHEN count(*) < 4 THEN 'too few points' ELSE 'off the globe' END AS problem FROM (SELECT *, lat + CASE WHEN mmsi % 29 = 0 THEN 50 ELSE 0 END AS y FROM fix) x GROUP BY 1, 2 HAVING count(*) < 4 OR bool_or(y NOT BETWEEN -90 AND 90)"))
