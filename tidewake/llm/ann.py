@@ -41,6 +41,8 @@ BUCKET_ROWS = 4096
 GROUP_ROWS = 20_000
 #: Entries that a bucket has on average.
 BUCKET_MEAN = 64
+#: Buckets that a query visits on average at most, in all tables; it sets the number of projections, not what is found.
+PROBES = 512
 #: Times the spread that the k-th neighbour of a query may be away before the query is compared with all rows.
 BEYOND = 1.05
 #: Queries of a block of such comparisons.
@@ -105,11 +107,15 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))), -1.0, 1.0)
 
 
-def calibrate(found: DataFrame, queries: DataFrame, k: int) -> float:
-    """The 80th percentile of unit-vector distances of the k-th true neighbour, of SAMPLE_QUERIES queries against all rows."""
+def calibrate(found: DataFrame, queries: DataFrame, k: int) -> tuple[float, list[np.ndarray]]:
+    """The 80th percentile of unit-vector distances of the k-th true neighbour, of SAMPLE_QUERIES queries against all rows.
+
+    Also the vectors of these queries.
+    """
     sample = queries.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_QUERIES).collect()
     if not sample:
-        return 1.0
+        return 1.0, []
+    vectors = [np.array(r["v"]) for r in sample]
     dims = {len(r["v"]) for r in sample}
     held = {d: (np.array([r["v"] for r in sample if len(r["v"]) == d]), np.array([r["vec_id"] for r in sample if len(r["v"]) == d])) for d in dims}
 
@@ -126,8 +132,26 @@ def calibrate(found: DataFrame, queries: DataFrame, k: int) -> float:
 
     near = found.mapInArrow(run, "query_id bigint, cos double").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos")))).filter(F.col("n") == k).select("cos").collect()
     if not near:
-        return 1.0
-    return max(0.05, float(np.percentile([sqrt(max(0.0, 2 - 2 * r["cos"])) for r in near], 80)))
+        return 1.0, vectors
+    return max(0.05, float(np.percentile([sqrt(max(0.0, 2 - 2 * r["cos"])) for r in near], 80))), vectors
+
+
+def projections_for(n: int, width: float, spread: float, sample: list[np.ndarray]) -> int:
+    """As many projections as give buckets of BUCKET_MEAN entries, unless queries then visit over PROBES buckets.
+
+    That many are too many where neighbours are hardly nearer than other rows; fewer, larger buckets hold the same share
+    of the neighbours, so the visits of a query do not grow with the table.
+    """
+    most = int(np.clip(round(np.log(max(n / BUCKET_MEAN, 2)) / np.log(max(2.0, 4.0 / width))), 2, 24))
+    for m in range(3, most + 1):
+        visits = []
+        for v in sample[:8]:
+            h = Hashes(len(v), m, width)
+            slots, places = h.slots(v[None])
+            visits.append(sum(map(len, h.probes(slots[0], places[0], spread))))
+        if visits and np.mean(visits) > PROBES:
+            return m - 1
+    return most
 
 
 class Hashes:
@@ -185,9 +209,9 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id
     found = work.save(entries(rows, k), "entries")
     queries = work.save(rows.filter(query).dropDuplicates(["vec_id"]), "queries")
     n = max(1, found.count())
-    spread = calibrate(found, queries, k)
+    spread, sample = calibrate(found, queries, k)
     width = 1.25 * spread
-    projections = int(np.clip(round(np.log(max(n / BUCKET_MEAN, 2)) / np.log(max(2.0, 4.0 / width))), 2, 24))
+    projections = projections_for(n, width, spread, sample)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Hashes] = {}
