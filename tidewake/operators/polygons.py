@@ -6,6 +6,8 @@ needs a whole dump's ways of one region together, so it is grouped by region.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,34 @@ from pyspark.sql import functions as F
 from tidewake.functions import geo
 
 RING = "array<struct<lat:double,lon:double>>"
+#: Where the coast keeps full detail, and the detail by distance from home: up to km, thinning km, least span of an island
+#: km; fixed values.
+DETAIL_HOME = (48.4299, -123.3622)
+FINE_BOXES = ((49.00, -123.30, 49.40, -122.70), (48.40, -123.20, 48.80, -122.50), (47.40, -122.65, 48.10, -122.20))
+DETAIL = ((60.0, 0.025, 0.05), (160.0, 0.12, 0.3), (2600.0, 0.30, 1.0), (float("inf"), 0.6, 2.0))
+
+
+def detail(lat: Column, lon: Column) -> Column:
+    """The detail of the coast at a place: thinning and least span of an island, km."""
+    km = geo.haversine_km(F.lit(DETAIL_HOME[0]), F.lit(DETAIL_HOME[1]), lat, lon)
+    levels = [F.struct(F.lit(a).alias("thin_km"), F.lit(b).alias("drop_km")) for _, a, b in DETAIL]
+    out = F.when(km <= DETAIL[0][0], levels[0])
+    for (most, _, _), level in zip(DETAIL[1:-1], levels[1:-1]):
+        out = out.when(km <= most, level)
+    out = out.otherwise(levels[-1])
+    for box in FINE_BOXES:
+        out = F.when(geo.in_box(lat, lon, box), levels[0]).otherwise(out)
+    return out
+
+
+def thin_km(lat: float, lon: float) -> float:
+    """The thinning of `detail` at one place, for `thinned`."""
+    if any(s <= lat <= n and w <= lon <= e for s, w, n, e in FINE_BOXES):
+        return DETAIL[0][1]
+    p, q = np.radians(DETAIL_HOME[0]), np.radians(lat)
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon - DETAIL_HOME[1]) / 2) ** 2
+    km = 2 * geo.KM * np.arcsin(min(1.0, h**0.5))
+    return next(thin for most, thin, _ in DETAIL if km <= most)
 
 
 def _mapped(ring: Column, f) -> Column:
@@ -44,8 +74,11 @@ def clip(ring: Column, south: float, west: float, north: float, east: float) ->
     return _mapped(ring, one)
 
 
-def thinned(ring: Column, km: float) -> Column:
-    """Fewer points, none of the dropped further than `km` from the new line; ends stay."""
+def thinned(ring: Column, km: float | Callable[[float, float], float]) -> Column:
+    """Fewer points, none of the dropped further than `km` from the new line; ends stay.
+
+    If km is a function of (lat, lon), the distance allowed is that at the furthest point.
+    """
 
     def one(p: np.ndarray) -> np.ndarray:
         if len(p) < 3:
@@ -60,8 +93,8 @@ def thinned(ring: Column, km: float) -> Column:
             d, inner = (p[b] - p[a]) * scale, (p[a + 1 : b] - p[a]) * scale
             t = np.clip(inner @ d / max(float(d @ d), 1e-12), 0, 1)
             away = np.hypot(*(inner - t[:, None] * d).T)
-            if away.max() > km:
-                k = a + 1 + int(away.argmax())
+            k = a + 1 + int(away.argmax())
+            if away.max() > (km(*p[k]) if callable(km) else km):
                 keep[k] = True
                 todo += [(a, k), (k, b)]
         return p[keep]

@@ -69,6 +69,53 @@ class Land:
         return bool(self.is_land(a[0] + (b[0] - a[0]) * f, a[1] + (b[1] - a[1]) * f).any())
 
 
+@dataclass
+class Region:
+    """Fine land and water of a box (south, west, north, east)."""
+
+    box: tuple[float, float, float, float]
+    land: list[Ring] = field(default_factory=list)
+    water: list[tuple[Ring, list[Ring]]] = field(default_factory=list)
+
+    def holds(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        south, west, north, east = self.box
+        return (lat >= south) & (lat <= north) & (lon >= west) & (lon <= east)
+
+
+@dataclass
+class RegionLand(Land):
+    """Home land and coarse land less water. In the box of a region with land of its own, the first such region decides
+    with home land, and coarse land does not count, so narrow water stays open; water of other regions counts in their boxes.
+    """
+
+    coarse: list[Ring] = field(default_factory=list)
+    regions: list[Region] = field(default_factory=list)
+
+    def is_land(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        lat, lon = np.asarray(lat, float), np.asarray(lon, float)
+        out, left = np.zeros(lat.shape, bool), np.ones(lat.shape, bool)
+        for region in self.regions:
+            if region.land:
+                here = left & region.holds(lat, lon)
+                out[here] = Land(self.land + region.land, self.water + region.water).is_land(lat[here], lon[here])
+                left &= ~here
+        out[left] = Land(self.land + self.coarse, self.water).is_land(lat[left], lon[left])
+        for region in self.regions:
+            here = left & out & region.holds(lat, lon)
+            for outer, holes in region.water:
+                wet = self._near(outer, lat[here], lon[here])
+                for hole in holes:
+                    wet &= ~self._near(hole, lat[here], lon[here])
+                out[here] &= ~wet
+                here = here & out
+        return out
+
+    def within(self, south: float, west: float, north: float, east: float) -> RegionLand:
+        """With those regions only whose boxes meet an extent."""
+        met = [r for r in self.regions if r.box[0] <= north and south <= r.box[2] and r.box[1] <= east and west <= r.box[3]]
+        return RegionLand(self.land, self.water, self.coarse, met)
+
+
 def distance(lat1, lon1, lat2, lon2):
     """Great-circle km."""
     p, q = np.radians(lat1), np.radians(lat2)
@@ -256,21 +303,30 @@ def simplified(way: list[tuple[float, float]], land: Land, km: float = 0.03) ->
     return kept
 
 
-def land_gaps(fixes: DataFrame, land: Land) -> DataFrame:
-    """Gaps of time or distance whose straight line crosses land, with the courses before and after."""
-    track = tracks.journeys(tracks.dedup(fixes))
+def crosses_land(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, land: Land) -> Column:
+    """Whether the straight line between two places crosses land, as an Arrow function."""
+
+    @F.pandas_udf("boolean")
+    def test(y: pd.Series, x: pd.Series, v: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([land.crosses((p, q), (r, s)) for p, q, r, s in zip(y, x, v, u)], dtype=bool)
+
+    return test(a_lat, a_lon, b_lat, b_lon)
+
+
+def crossing_gaps(track: DataFrame, land: Land) -> DataFrame:
+    """Gaps of time or distance of each journey whose straight line crosses land, with the courses before and after."""
     w = tracks.ordered("journey")
     p = lambda k: [F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) for c in ("lat", "lon")]
     a, b = p(1), [F.col("lat"), F.col("lon")]
-    rows = track.withColumns({"a_lat": a[0], "a_lon": a[1], "a_t": F.lag("t").over(w), "entry": geo.bearing_deg(*p(2), *a), "leave": geo.bearing_deg(*b, *p(-1))})
+    rows = track.withColumns({"a_lat": a[0], "a_lon": a[1], "a_t": F.lag("t").over(w), "a_tier": F.lag("tier").over(w), "entry": geo.bearing_deg(*p(2), *a), "leave": geo.bearing_deg(*b, *p(-1))})
     wide = (F.col("t") - F.col("a_t") > GAP_MS) | (geo.haversine_km(F.col("a_lat"), F.col("a_lon"), *b) > GAP_KM)
+    gaps = rows.filter(F.col("a_t").isNotNull() & wide).filter(crosses_land(F.col("a_lat"), F.col("a_lon"), *b, land))
+    return gaps.select("mmsi", "journey", "a_t", F.col("t").alias("b_t"), "a_lat", "a_lon", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "entry", "leave", "length", "a_tier", F.col("tier").alias("b_tier"))
 
-    @F.pandas_udf("boolean")
-    def crosses(a_lat: pd.Series, a_lon: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series([land.crosses((p, q), (r, s)) for p, q, r, s in zip(a_lat, a_lon, lat, lon)])
 
-    gaps = rows.filter(F.col("a_t").isNotNull() & wide).filter(crosses("a_lat", "a_lon", "lat", "lon"))
-    return gaps.select("mmsi", "journey", F.col("a_t"), F.col("t").alias("b_t"), "a_lat", "a_lon", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "entry", "leave", "length")
+def land_gaps(fixes: DataFrame, land: Land) -> DataFrame:
+    """The crossing gaps of fixes as they are, less those that hardly move."""
+    return crossing_gaps(tracks.journeys(tracks.dedup(fixes)), land)
 
 
 def water_routes(gaps: DataFrame, land: Land, max_cells: int = MAX_CELLS, full: bool = False) -> DataFrame:

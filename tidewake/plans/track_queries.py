@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
-from tidewake.operators import polygons, routing, tracks
+from tidewake.operators import polygons, routing, tracks, trails
 from tidewake.plans import function_queries, sql
 from tidewake.sources import adapter
 
@@ -159,26 +159,15 @@ def _diff(p, spark):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-def eligible(vessel: DataFrame, state: DataFrame) -> DataFrame:
-    """Vessels with a newer fix than their trail was made from (state: mmsi, done)."""
-    wanted = vessel.filter("of_interest = 1 and first_direct_at is not null and last_pos_ts is not null")
-    return wanted.join(state, "mmsi", "left").filter("done is null or last_pos_ts > done").select("mmsi", "last_pos_ts")
-
-
 def _eligible_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = adapter.fixes(spark, sf_dir)
-    return eligible(adapter.vessel_table(fix), fix.filter("event_id % 4 <> 0").groupBy("mmsi").agg(F.max("ts").alias("done")))
+    return trails.due(adapter.vessel_table(fix), fix.filter("event_id % 4 <> 0").groupBy("mmsi").agg(F.max("ts").alias("done")))
 
 
 QUERIES["precompute_eligible"] = _eligible_query
 ORACLE_SQL["precompute_eligible"] = sql.over("SELECT mmsi, last_pos_ts FROM vessels v LEFT JOIN (SELECT mmsi AS m, max(ts) AS done FROM fix WHERE event_id % 4 <> 0 GROUP BY mmsi) s ON s.m = v.mmsi WHERE of_interest = 1 AND first_direct_at IS NOT NULL AND last_pos_ts IS NOT NULL AND (done IS NULL OR last_pos_ts > done)")
 
 
-@query("smooth_track", None)
-def _smooth(p, spark):
-    return tracks.denoised(tracks.journeys(p), lambda lat, lon: routing.is_land(lat, lon, land())).select("mmsi", "journey", "id", "t", "lat", "lon")
-
-
 def land() -> routing.Land:
     """The land of the function queries, as polygons of the router."""
     return routing.Land([function_queries.RING], [(function_queries.HOLE, [])])
