@@ -129,10 +129,18 @@ def _smooth(p, vessel, spark):
     return d.select("mmsi", "journey", "id", "t", geo.rounded(F.col("lat")).alias("lat"), geo.rounded(F.col("lon")).alias("lon"))
 
 
+#: An island that lies between two fixes of some tracks, so that trails have to go around it.
+ISLAND = [(48.058, -123.50), (48.062, -123.50), (48.062, -123.45), (48.058, -123.45)]
+
+
+def shore() -> routing.Land:
+    return routing.Land([RING, ISLAND], [(HOLE, [])])
+
+
 @query("trail_runs")
 def _trail(p, vessel, spark):
     """Stretches of real and inferred curve of all trails, over water and repaired."""
-    return _shown(trails.runs_of(p.withColumn("fake", F.lit(False)), land()))
+    return _shown(trails.runs_of(p.withColumn("fake", F.lit(False)), shore()))
 
 
 def _middle(g: DataFrame, east: float) -> DataFrame:
@@ -161,10 +169,10 @@ def _store(p, vessel, spark):
 
 @query("trail_job")
 def _job(p, vessel, spark):
-    """What the trail job deletes and inserts, for a store that has a point in each third gap and is current for some vessels."""
+    """What the trail job deletes, inserts and notes, for a store with a point in each third gap that is current for some vessels."""
     p = p.withColumn("fake", F.lit(False))
     stored = _middle(_segments(p).filter("id % 3 = 0"), 0.0)
     state = p.filter("mmsi % 3 = 0").groupBy("mmsi").agg(F.max("t").alias("done"))
-    made = trails.job(p, vessel, stored, state, land())
-    empty = [F.lit(None).cast(kind).alias(c) for c, kind in (("seq", "int"), ("lat", "double"), ("lon", "double"), ("tier", "string"))]
-    return made.insert.select(F.lit("insert").alias("action"), "mmsi", "segment", "seq", "lat", "lon", "tier").unionByName(made.delete.select(F.lit("delete").alias("action"), "mmsi", "segment", *empty))
+    made = trails.job(p, vessel, stored, state, shore())
+    changes = [d.withColumn("action", F.lit(a)) for a, d in (("insert", made.insert.drop("t")), ("delete", made.delete), ("state", made.state))]
+    return changes[0].unionByName(changes[1], allowMissingColumns=True).unionByName(changes[2], allowMissingColumns=True)
