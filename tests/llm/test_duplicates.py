@@ -120,9 +120,11 @@ def roots_by_brute_force(rows):
     return root
 
 
-def test_crowded_balls_lose_no_pair(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [5, 5000])
+def test_crowded_balls_lose_no_pair(spark, monkeypatch, crowd):
     """Texts of the same words in other orders share all fingerprints; only some, far apart by id, are near copies."""
     monkeypatch.setattr(simhash, "PART_ROWS", 3, raising=False)
+    monkeypatch.setattr(simhash, "CROWD_ROWS", crowd)
     rng = random.Random(5)
     rows = []
     for k in range(40):
@@ -137,6 +139,18 @@ def test_crowded_balls_lose_no_pair(spark, monkeypatch):
     assert got == want and sum(d != r for d, r in want.items()) == 40
 
 
+def test_parts_of_a_crowded_block_are_paired_by_their_least_classes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD_ROWS", 10)
+    rows = [(k, 7, [1, 2, 3, 4]) for k in range(100)] + [(100, 7, [0xFF0, 0xFE1, 0xFD2, 0xFC3])]
+    pairs = simhash.ball_pairs(spark.createDataFrame(rows, "class bigint, near bigint, blocks array<bigint>"), Work(spark, "test"))
+    found = {(r.a, r.b) for r in pairs.collect()}
+    root = list(range(101))
+    for _ in range(100):
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [0] * 100 + [100] and len(found) < 300
+
+
 def test_near_duplicates_find_appended_and_cut_blocks(spark):
     """Texts of distinct words, and copies with a block added or missing at similarities from 0.80 to 0.90."""
     rng = random.Random(9)

@@ -44,6 +44,8 @@ NEAR_BITS = 22
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Texts of a task that must have one of a counter's shingles for the counter to be reported.
 HEAVY = 4
+#: Classes with one block beyond which their balls are dealt into parts; a ball's value then has 33 times as many at most.
+CROWD_ROWS = 5000
 #: Bytes of text whose shingles are made at a time.
 SPAN_BYTES = 1 << 18
 #: Classes of one shingle that are compared with each other at a time; more are dealt into parts, and pairs of parts.
@@ -230,18 +232,30 @@ def frequency(heavy: DataFrame) -> np.ndarray:
     return out
 
 
-def ball_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
+def ball_pairs(classes: DataFrame, work: Work, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of classes (class, near, blocks) that meet in the ball of one of their blocks.
 
     A class is paired with the least class of a ball's value and with the one before it in the order of the shingles'
     fingerprint, if that fingerprint allows the similarity; so a value gives at most two pairs for each of its classes.
+    Classes of a crowded block are dealt into parts, so a value's parts stay near a ball's blocks times CROWD_ROWS, whatever
+    a hot block has. Parts do not meet, but their least classes do. As with all pairs that do not meet, the prefix filter
+    finds those that are similar.
     """
     masks = F.array(*[F.lit(m).cast("bigint") for m in ball(HALF_BITS, radius // 2)])
     block = classes.select("class", "near", F.posexplode("blocks").alias("seed", "fp"))
-    block = block.withColumn("fp", F.shiftleft(F.col("seed").cast("bigint"), HALF_BITS).bitwiseOR(F.col("fp")))
-    met = block.select("class", "near", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    group, me = Window.partitionBy("value"), F.struct("class", "near")
-    met = met.select("class", "near", F.min(me).over(group).alias("least"), F.lag(me).over(group.orderBy("near", "class")).alias("before"))
+    block = block.select("class", "near", F.shiftleft(F.col("seed").cast("bigint"), HALF_BITS).bitwiseOR(F.col("fp")).alias("fp"))
+    crowded = block.groupBy("fp").count().filter(F.col("count") > CROWD_ROWS).select("fp", F.ceil(F.col("count") / CROWD_ROWS).cast("int").alias("parts"))
+    crowded = work.save(crowded, "crowded")
+    dealt = F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part")
+    block = block.join(few(crowded), "fp", "left").select("class", "near", "fp", dealt)
+    met = block.select("class", "near", F.coalesce("part", F.lit(0)).alias("part"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    tops = block.filter("part is not null").groupBy("fp", "part").agg(F.min(F.struct("class", "near")).alias("top")).select("fp", "top.class", "top.near")
+
+    def partners(rows: DataFrame, *by: str) -> DataFrame:
+        group, me = Window.partitionBy(*by), F.struct("class", "near")
+        return rows.select("class", "near", F.min(me).over(group).alias("least"), F.lag(me).over(group.orderBy("near", "class")).alias("before"))
+
+    met = partners(met, "value", "part").unionAll(partners(tops, "fp"))
     pairs = met.select("class", "near", F.explode(F.array("least", "before")).alias("other")).filter("other is not null and other.class <> class")
     pairs = pairs.filter(F.bit_count(F.col("near").bitwiseXOR(F.col("other.near"))) <= NEAR_BITS)
     return pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
@@ -336,7 +350,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, see
     signed = told.filter("doc_id is not null")
     least = F.min(F.struct("doc_id", "near", "blocks")).alias("least")
     same = work.save(signed.groupBy("h1", "h2").agg(least).select("h1", "h2", F.col("least.doc_id").alias("class"), "least.near", "least.blocks"), "same")
-    pairs = work.save(ball_pairs(same, radius), "pairs")
+    pairs = work.save(ball_pairs(same, work, radius), "pairs")
     links = work.save(alike(pairs.groupBy("b").agg(F.min("a").alias("a")), named, size, similarity), "first")
     root = components(links, work, "balls")
     for end in ("a", "b"):
