@@ -109,3 +109,15 @@ def test_smoothing_keeps_fixes_off_land(spark):
     assert middle([(-0.5, 0.5), (0.09, 0.5), (0.09, 1.5), (-0.5, 1.5)]) == (0.1, 1.0)
     lat, lon = middle([(-0.5, 0.5), (0.07, 0.5), (0.07, 1.5), (-0.5, 1.5)])  # the second pass would reach land
     assert 0.07 < lat < 0.09 and lon == 1.0
+
+
+def test_running_totals_with_ties_and_nulls(spark):
+    rows = [(None if k % 17 == 0 else k % 5 if k % 3 else k, k, k % 4 or None) for k in range(700)]
+    got = ingest.running(spark.createDataFrame(rows, "at bigint, id bigint, n int"), ("at", "id"), {"total": F.col("n"), "place": F.lit(1)})
+    want, total = {}, 0
+    for place, (at, k, n) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1):
+        total += n or 0
+        want[k] = (total, place)
+    assert {r.id: (r.total, r.place) for r in got.collect()} == want
+    none = spark.createDataFrame([], "at bigint, id bigint, n int")
+    assert ingest.running(none, ("at", "id"), {"total": F.col("n")}).count() == 0

@@ -16,6 +16,8 @@ from tidewake.functions.geo import in_box
 from tidewake.operators.views import latest_position, zone_of
 
 STATIC = ("name", "vessel_type", "length", "destination")
+#: Ranges that running totals are made in.
+RANGES = 200
 NULLS = {"name": "string", "vessel_type": "int", "length": "bigint", "destination": "string"}
 
 
@@ -119,11 +121,30 @@ def upsert_zone_visits(visits: DataFrame, seen: DataFrame, throttle_ms: int = di
     return both.select(F.coalesce("o.mmsi", "n.mmsi").alias("mmsi"), F.coalesce("o.zone_id", "n.zone_id").alias("zone_id"), F.coalesce("o.first_ts", "n.ts").alias("first_ts"), pick("ts", "last_ts"), pick("lat", "lat"), pick("lon", "lon"))
 
 
+def running(rows: DataFrame, order: tuple[str, ...], counted: dict[str, Column]) -> DataFrame:
+    """Adds running totals of numbers in an order that ends in a unique column, each row's own number included.
+
+    The rows are cut into ranges of the first column; totals of the ranges, at most RANGES + 1 rows, give each range what
+    comes before it. The cuts are constants of the plan, so every use of it has the same ranges. Rows with one value of
+    the first column are one range; nulls come first; a null number counts as none.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(order[0]), shares)).first()[0] or []))
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))), F.lit(0)) if cuts else F.lit(0)
+    dealt = rows.withColumns({**{name: F.coalesce(number, F.lit(0)) for name, number in counted.items()}, "_range": place})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*[F.sum(name).alias(name) for name in counted])
+    totals = totals.select("_range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in counted])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(totals), "_range")
+    out = out.withColumns({name: F.sum(name).over(within) + F.col(f"_before_{name}") for name in counted})
+    return out.drop("_range", *[f"_before_{name}" for name in counted])
+
+
 def foreign(heard: DataFrame, state: DataFrame, visits: DataFrame, zones: DataFrame, scan_ts: int) -> DataFrame:
     """The verdict of a distant scan on each vessel heard in a zone: relevant, position, initial, small or skipped.
 
-    Caps on positions and first rows a scan are part of the scan; they hold in order of arrival (column `arrival`). The
-    running counts are over one scan's vessels, which a drain bounds.
+    Caps on positions and first rows a scan are part of the scan; they hold in order of arrival (column `arrival`).
     """
     z = zone_of(heard, zones).join(state.select("mmsi", F.lit(True).alias("old"), "o_interest", "o_type", "o_length", "o_ts", "o_seen"), "mmsi", "left").join(visits.select("mmsi", "zone_id", F.lit(True).alias("visited")), ["mmsi", "zone_id"], "left")
     fresh, interest = F.col("old").isNull(), F.coalesce(F.col("o_interest") == 1, F.lit(False))
@@ -132,8 +153,7 @@ def foreign(heard: DataFrame, state: DataFrame, visits: DataFrame, zones: DataFr
     small = ~interest & fresh & vessels.is_confirmed_small(kind, length)
     stale = ~fresh & F.coalesce(scan_ts - F.col("o_ts") >= dims.FOREIGN_POSITION_MS, F.lit(False))
     z = z.withColumns({"small": small, "relevant": relevant & ~small, "wants_position": relevant & ~small & (F.col("visited").isNull() | stale), "wants_row": fresh & ~relevant & ~small, "refresh": fresh | F.coalesce(scan_ts - F.col("o_seen") >= dims.FOREIGN_REFRESH_MS, F.lit(False))})
-    order = Window.orderBy("arrival", "mmsi").rowsBetween(Window.unboundedPreceding, 0)
-    z = z.withColumn("n_position", F.sum(F.col("wants_position").cast("int")).over(order)).withColumn("n_row", F.sum(F.col("wants_row").cast("int")).over(order))
+    z = running(z, ("arrival", "mmsi"), {"n_position": F.col("wants_position").cast("int"), "n_row": F.col("wants_row").cast("int")})
     position = F.col("wants_position") & (F.col("n_position") <= dims.FOREIGN_MAX_POSITIONS)
     initial = F.col("wants_row") & (F.col("n_row") <= dims.FOREIGN_MAX_NEW)
     return z.select("mmsi", "zone_id", "lat", "lon", "relevant", "small", position.alias("position"), initial.alias("initial"), (initial | (F.col("relevant") & (F.col("refresh") | position))).alias("upsert"))
@@ -151,10 +171,9 @@ def lock_transition(holder: str | None, expires: int, asks: str, now: int, until
     return (asks, until) if holder is None or holder == asks or expires <= now else None
 
 
-def chunked(targets: DataFrame, order: list[Column], size: int = dims.GLOBAL_CHUNK) -> DataFrame:
-    """Targets with the number of their chunk of `size`, in order; numbers come from sorted ranges, not one task."""
-    ranked = targets.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.withColumn("chunk", F.floor(F.col("place") / size).cast("int")).drop("place")
+def chunked(targets: DataFrame, order: tuple[str, ...], size: int = dims.GLOBAL_CHUNK) -> DataFrame:
+    """Targets with the number of their chunk of `size`, in order."""
+    return running(targets, order, {"chunk": F.lit(1)}).withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("int"))
 
 
 def rounds(targets: DataFrame, heard: DataFrame, most: int = dims.GLOBAL_ROUNDS) -> DataFrame:

@@ -176,7 +176,7 @@ def _semi(fix, spark):
 
 @query("chunk_numbering", sql.over("SELECT mmsi, CAST((row_number() OVER (ORDER BY last_seen, mmsi) - 1) // 75 AS INT) AS chunk FROM vessels WHERE of_interest = 1"))
 def _chunks(fix, spark):
-    return ingest.chunked(adapter.vessel_table(fix).filter("of_interest = 1").select("mmsi", "last_seen"), [F.col("last_seen"), F.col("mmsi")]).select("mmsi", "chunk")
+    return ingest.chunked(adapter.vessel_table(fix).filter("of_interest = 1").select("mmsi", "last_seen"), ("last_seen", "mmsi")).select("mmsi", "chunk")
 
 
 @query("global_rounds", sql.over("SELECT v.mmsi, coalesce(r, 0) AS round FROM vessels v LEFT JOIN (SELECT mmsi, min(round) AS r FROM (SELECT DISTINCT mmsi, CAST(event_id % 9 AS INT) AS round FROM fix) x WHERE round BETWEEN 1 AND 3 GROUP BY mmsi) h ON h.mmsi = v.mmsi"))

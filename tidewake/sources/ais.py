@@ -33,11 +33,12 @@ def merge(messages: DataFrame, by: tuple[str, ...] = ("scan_id", "mmsi")) -> Dat
     """One row per drain and vessel: the last word on every field, and whether a position or static data was heard."""
     report, static = F.col("kind") == KINDS[0], F.col("kind") == KINDS[1]
 
-    def last(c: str, of: Column) -> Column:
-        return F.max_by(F.when(of, F.struct(c)), F.when(of, F.col("seq")))[c].alias(c)
+    def last(of: Column, *fields: str) -> Column:
+        return F.max_by(F.when(of, F.struct(*fields)), F.when(of, F.col("seq")))
 
-    any_kind = F.lit(True)
-    return messages.groupBy(*by).agg(last("name", any_kind), *[last(c, report) for c in ("lat", "lon", "speed", "heading")], *[last(c, static) for c in ("vessel_type", "length", "destination")], F.max(report).alias("has_position"), F.max(static).alias("has_static"))
+    moves, statics = ("lat", "lon", "speed", "heading"), ("vessel_type", "length", "destination")
+    out = messages.groupBy(*by).agg(last(F.lit(True), "name").alias("any"), last(report, *moves).alias("report"), last(static, *statics).alias("static"), F.max(report).alias("has_position"), F.max(static).alias("has_static"))
+    return out.select(*by, "any.name", *[f"report.{c}" for c in moves], *[f"static.{c}" for c in statics], "has_position", "has_static")
 
 
 def complete(merged: DataFrame) -> DataFrame:
