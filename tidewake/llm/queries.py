@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries: each has QUERIES and may have ORACLE_SQL.
-MODULES = ("q_duplicates", "q_files", "q_models", "q_tokens", "q_vectors")
+MODULES = ("q_audit", "q_duplicates", "q_files", "q_models", "q_tokens", "q_vectors")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
