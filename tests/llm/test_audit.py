@@ -1,13 +1,15 @@
-"""Audits of a corpus against brute force: secrets."""
+"""Audits of a corpus against brute force: divergence of sources, secrets."""
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewake.llm import q_audit, secrets
+from tidewake.llm import divergence, q_audit, secrets
 
 ALPHABET = secrets.CLASSES[0].alphabet
 RULES = [("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
@@ -59,3 +61,58 @@ def test_odd_documents_have_secrets(spark, odd, tmp_path):
     want = sorted((str(r.doc_id), brute_spans(r.text)) for r in odd.collect())
     assert sorted((str(r.doc_id), r.spans) for r in got) == want
     assert secrets.scan(odd.filter("false")).count() == 0
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def brute_audit(docs, least=3, most=200):
+    """(lang, source, part, item, value, rank) of (text, lang, source), by whole numbers of any size."""
+    seen, count, sources = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in docs:
+        found = TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sources[lang or ""].add(source or "")
+        seen[lang or ""].update(set(found))
+        count[lang or "", source or ""].update(found)
+    out = []
+    for lang, names in sources.items():
+        kept = sorted(t for t, n in seen[lang].items() if n >= least)
+        p = {s: [1 + 10**9 * (count[lang, s][t] + 1) // (sum(count[lang, s][k] for k in kept) + len(kept)) for t in kept] for s in names}
+        every = sum((count[lang, s] for s in names), Counter())
+        q = [1 + 10**9 * (every[t] + 1) // (sum(every[k] for k in kept) + len(kept)) for t in kept]
+        for s in names:
+            pairs = [(sum((a - b) ** 2 // b for a, b in zip(p[s], p[o])), o) for o in names if o != s]
+            words = [((a - b) ** 2 // b, t) for a, b, t in zip(p[s], q, kept) if count[lang, s][t] and a > b]
+            for part, found in (("pair", pairs), ("term", words)):
+                ranked = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (value, item) in enumerate(ranked) if part == "pair" or k < most]
+    return sorted(out)
+
+
+def test_divergence_equals_brute_force_in_any_blocks(spark):
+    rng = random.Random(7)
+    words = ["a", "B", "ab", "longerthaneight", "longerthaneighteen", "longerthaneighteens", "été", "ÉTÉ", "漢字", "x1y", "don't", "_z_", "\x00n", "w" * 70] + [f"w{chr(97 + k)}" for k in range(20)]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) if rng.random() < 0.9 else None, rng.choice(["en", "de", None, ""]), rng.choice(["s1", "s2", "s3", "s4", "s5", None])) for _ in range(150)]
+    rows += [("lonely", "fr", "s1"), ("only", "fr", "s2"), (None, "it", "s9")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").withColumn("term", F.lit(1)).withColumn("doc_id", F.lit(None).cast("bigint"))
+    want = brute_audit(rows, most=10)
+    for slice_bytes, part_rows, block in ((1 << 23, 500_000, 512), (64, 9, 2)):
+        assert sorted(map(tuple, divergence.audit(docs, 3, 10, slice_bytes, part_rows, block).collect())) == want
+    assert divergence.audit(docs.filter("false")).count() == 0
+
+
+def test_pointers_sort_by_group_and_term():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(30)) + " " + "q" * rng.choice([7, 8, 9, 3000]) for _ in range(20)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    starts, ends = divergence.terms(data, offsets)
+    group = np.array([rng.randint(0, 2) for _ in starts])
+    order, fresh = divergence.pointer_sort(data, starts, ends, group)
+    key = [(group[k], data[starts[k] : ends[k]].tobytes()) for k in range(len(starts))]
+    assert order.tolist() == sorted(range(len(starts)), key=lambda k: (key[k], k))
+    assert fresh.tolist() == [k == 0 or key[order[k]] != key[order[k - 1]] for k in range(len(order))]
+
+
+def test_shares_hold_large_totals():
+    count, total = np.array([0, 5, 8 * 10**15 - 1]), np.array([8 * 10**15 + 7, 3 * 10**15, 8 * 10**15])
+    assert divergence.shares(count, total).tolist() == [1 + 10**9 * (c + 1) // n for c, n in zip(count.tolist(), total.tolist())]

@@ -1,11 +1,11 @@
-"""Queries that audit a corpus: secrets."""
+"""Queries that audit a corpus: divergence of sources, secrets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import secrets
+from tidewake.llm import divergence, secrets
 from tidewake.llm.common import table
 
 
@@ -56,5 +56,28 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN told USING (row)"""
 
 
-QUERIES = {"op13_secrets": op13_secrets}
-ORACLE_SQL = {"op13_secrets": _secrets_sql()}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=3, most=200)
+
+
+DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    words AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    langs AS (SELECT lang, count(term) AS v, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+    groups AS (SELECT lang, source, v, CAST(coalesce(m, 0) AS HUGEINT) + v AS total, langs.n + v AS lang_total
+               FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS m FROM counts GROUP BY lang, source) USING (lang, source)),
+    cells AS (SELECT lang, source, term, coalesce(counts.n, 0) AS c, 1 + (1000000000 * (CAST(coalesce(counts.n, 0) AS HUGEINT) + 1)) // total AS p,
+                     1 + (1000000000 * (CAST(kept.n AS HUGEINT) + 1)) // lang_total AS q
+              FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f
+              FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    every AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+              FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM cells WHERE c > 0 AND p > q)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every) WHERE part = 'pair' OR rank <= 200"""
+
+QUERIES = {"op12_divergence": op12_divergence, "op13_secrets": op13_secrets}
+ORACLE_SQL = {"op12_divergence": DIVERGENCE_SQL, "op13_secrets": _secrets_sql()}
