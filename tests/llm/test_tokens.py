@@ -56,6 +56,24 @@ def test_special_tokens_long_words_and_a_full_store(vocabulary, library, monkeyp
             assert [encoded(coder, [t])[0] for t in texts] == wanted
 
 
+def test_long_words_are_not_kept(vocabulary, library):
+    texts = ["漢" * 40_000 + str(k) for k in range(3)] + ["short words " * 9, "é" * 500 + "x", "é" * 512 + "x"]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kind in (bpe.LibraryWords, bpe.SegmentTreeWords):
+        coder = bpe.Encoder(kind(vocabulary))
+        for _ in range(2):
+            assert encoded(coder, texts) == wanted and coder.text_used < 4 * bpe.LONG_WORD
+
+
+def test_the_store_of_words_is_bounded_by_bytes(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 5000)
+    coder = bpe.Encoder(bpe.LibraryWords(vocabulary))
+    for k in range(30):
+        text = " ".join(f"{chr(97 + k % 26)}{'word' * 100}{chr(97 + j)}" for j in range(10))
+        assert encoded(coder, [text])[0] == library.encode(text, add_special_tokens=False).ids
+        assert coder.text_used <= 5000
+
+
 def thue_morse(a, b, n):
     """Words that collide in every polynomial hash modulo 2**64 from 1,024 letters on."""
     one, two = a, b

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from tidewake.llm.common import gather, span_hashes, text_chunks
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Distinct pre-tokens whose ids a worker keeps; beyond it the store starts anew. It bounds memory, not results.
-KEPT_WORDS = 2_000_000
+#: Distinct pre-tokens whose ids a worker keeps, and bytes of their text; beyond either the store starts anew. Longer
+#: pre-tokens than LONG_WORD bytes are encoded each time and not kept. All three bound memory, not results.
+KEPT_WORDS, KEPT_BYTES, LONG_WORD = 2_000_000, 24 << 20, 1024
 
 _classes: np.ndarray | None = None
 
@@ -146,6 +147,9 @@ class LibraryWords:
         for sign, i in vocab.items():
             self.size[i] = len(sign)
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return pre_tokens(data, offsets, self.special)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words with a leading blank go to the library in rows, which it cuts at the blanks; the ids' sizes tell them apart."""
         texts = [w.decode() for w in words]
@@ -218,6 +222,9 @@ class SegmentTreeWords:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return pre_tokens(data, offsets, self.special)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
@@ -341,58 +348,66 @@ class Encoder:
         Pre-tokens are looked up by a fingerprint, and their bytes are compared with those of the one that is kept under
         it; one that differs is encoded on its own.
         """
-        starts = pre_tokens(data, offsets, self.words.special)
+        starts = self.words.cut(data, offsets)
         if not len(starts):
             return np.zeros(0, self.pool.dtype), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        who = np.flatnonzero(ends - starts <= LONG_WORD)
+        keys, first, which = np.unique(span_hashes(data, starts[who], ends[who]), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, keys)
         new = np.ones(len(keys), bool)
         held = at < len(self.known)
         new[held] = self.known[at[held]] != keys[held]
         if new.any():
-            if len(self.known) + int(new.sum()) > KEPT_WORDS and len(self.known):
+            bytes_ = int((ends - starts)[who[first[new]]].sum())
+            if (len(self.known) + int(new.sum()) > KEPT_WORDS or self.text_used + bytes_ > KEPT_BYTES) and len(self.known):
                 self.forget()
                 at, new = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
-            who = first[new]
-            ids, count = self._ids(data, starts[who], ends[who])
-            if len(ids) and int(ids.max()) > 0xFFFF and self.pool.dtype == np.uint16:
-                self.pool = self.pool.astype(np.uint32)
-            self.pool = _extended(self.pool, self.used, ids)
-            slots = len(self.at) + np.arange(len(who))
-            self.at = np.concatenate([self.at, self.used + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.used += len(ids)
-            size = ends[who] - starts[who]
-            self.text = _extended(self.text, self.text_used, gather(data, starts[who], size))
-            self.text_at = np.concatenate([self.text_at, self.text_used + np.cumsum(size) - size])
-            self.text_len = np.concatenate([self.text_len, size])
-            self.text_used += int(size.sum())
-            self.known = np.insert(self.known, at[new], keys[new])
-            self.slot = np.insert(self.slot, at[new], slots)
+            self._keep(data, starts[who[first[new]]], ends[who[first[new]]], at[new], keys[new])
             at = np.searchsorted(self.known, keys)
         slot = self.slot[at][which]
-        count, begin, pool = self.count[slot], self.at[slot], self.pool
-        other = self._others(data, starts, ends, slot)
-        if len(other):
+        count, begin = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        count[who], begin[who], pool = self.count[slot], self.at[slot], self.pool
+        other = np.ones(len(starts), bool)
+        other[who] = self._others(data, starts[who], ends[who], slot)
+        if other.any():
             ids, more = self._ids(data, starts[other], ends[other])
             pool = np.concatenate([pool[: self.used], ids])
             count[other], begin[other] = more, self.used + np.cumsum(more) - more
         before = np.concatenate([[0], np.cumsum(count)])
         return gather(pool, begin, count), before[np.searchsorted(starts, offsets)]
 
+    def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, keys: np.ndarray) -> None:
+        """Encode new pre-tokens and keep them under their keys, which come before the known ones at `at`."""
+        ids, count = self._ids(data, starts, ends)
+        if len(ids) and int(ids.max()) > 0xFFFF and self.pool.dtype == np.uint16:
+            self.pool = self.pool.astype(np.uint32)
+        self.pool = _extended(self.pool, self.used, ids)
+        slots = len(self.at) + np.arange(len(starts))
+        self.at = np.concatenate([self.at, self.used + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.used += len(ids)
+        size = ends - starts
+        self.text = _extended(self.text, self.text_used, gather(data, starts, size))
+        self.text_at = np.concatenate([self.text_at, self.text_used + np.cumsum(size) - size])
+        self.text_len = np.concatenate([self.text_len, size])
+        self.text_used += int(size.sum())
+        self.known, self.slot = np.insert(self.known, at, keys), np.insert(self.slot, at, slots)
+
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         return self.words.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
     def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """The pre-tokens, which cover data without a gap, whose bytes are not those kept in their slot."""
+        """Which pre-tokens have other bytes than those kept in their slot."""
         size = ends - starts
-        odd = size != self.text_len[slot]
-        if odd.any():
-            return np.flatnonzero(odd | ~np.array([data[a:b].tobytes() == self.text[t : t + b - a].tobytes() for a, b, t in zip(starts.tolist(), ends.tolist(), self.text_at[slot].tolist())]))
-        differ = np.flatnonzero(gather(self.text, self.text_at[slot], size) != data[starts[0] :])
-        return np.unique(np.searchsorted(starts, differ + starts[0], "right") - 1)
+        out = size != self.text_len[slot]
+        same = np.flatnonzero(~out)
+        size = size[same]
+        mine = data[starts[0] :] if len(same) and int(size.sum()) == len(data) - starts[0] else gather(data, starts[same], size)
+        differ = np.flatnonzero(gather(self.text, self.text_at[slot[same]], size) != mine)
+        out[same[np.searchsorted(np.cumsum(size), differ, "right")]] = True
+        return out
 
 
 def _extended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
