@@ -1,15 +1,19 @@
-"""Audits of a corpus against brute force: divergence of sources, secrets."""
+"""Audits of a corpus against brute force: alignment of tokenizers, divergence of sources, secrets."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewake.llm import divergence, q_audit, secrets
+from tidewake.llm import alignment, divergence, q_audit, secrets
+from tidewake.llm.bpe import byte_alphabet
+from tidewake.llm.common import table
 
 ALPHABET = secrets.CLASSES[0].alphabet
 RULES = [("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
@@ -116,3 +120,76 @@ def test_pointers_sort_by_group_and_term():
 def test_shares_hold_large_totals():
     count, total = np.array([0, 5, 8 * 10**15 - 1]), np.array([8 * 10**15 + 7, 3 * 10**15, 8 * 10**15])
     assert divergence.shares(count, total).tolist() == [1 + 10**9 * (c + 1) // n for c, n in zip(count.tolist(), total.tolist())]
+
+
+@pytest.fixture(scope="module")
+def aligned(vocabulary):
+    """Slices of a text by both libraries, through dictionaries of ends."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two, alphabet = Tokenizer.from_file(vocabulary), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), byte_alphabet()
+    one.encode_special_tokens = True
+
+    def slices(text):
+        if not text:
+            return 0, 0, []
+        a, b = one.encode(" " + text, add_special_tokens=False).ids, two.encode(text)
+        parts = [[bytes(alphabet[c] for c in one.id_to_token(i)) for i in a], [bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("▁", " ").encode() for i in b]]
+        if any(b"".join(p) != (" " + text).encode() for p in parts):
+            return 0, 0, []
+        ends = [{n: k + 1 for k, n in enumerate(np.cumsum([len(x) for x in p]).tolist())} for p in parts]
+        out, i, j = [], 0, 0
+        for end in sorted(ends[0].keys() & ends[1].keys()):
+            out.append((a[i : ends[0][end]], b[j : ends[1][end]]))
+            i, j = ends[0][end], ends[1][end]
+        return len(a), len(b), out
+
+    return slices
+
+
+def brute_alignment(found):
+    """Rows of the slices of all documents."""
+    count, highest = Counter(), Counter()
+    for _, _, slices in found:
+        count.update({(x, y) for a, b in slices for x in a for y in b})
+    for (x, _), n in count.items():
+        highest[x] = max(highest[x], n)
+    for n_a, n_b, slices in found:
+        links = [(x, y) for a, b in slices for x in a for y in b]
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in slices)
+        yield n_a, n_b, len(slices), len(links), sum(count[x] == highest[x[0]] for x in links), sum(count[x] for x in links), hashlib.sha256(text.encode()).hexdigest() if slices else ""
+
+
+ODD_TEXTS = [None, "", " ", "  ", "a", "a ", "\x00x", "x▁y", "x▁ y", "<|endoftext|> <s>x</s>", "漢字 かな 😀\n\n\n" * 20, "aaaa" * 3000, "tab\tx  y   z", "naïve é", "zzzzz" * 2000, " lead", "a\r\nb", "ﬁ"]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_pairs": 500, "held": 100}, {"most_pairs": 0}])
+def test_alignment_equals_brute_force(spark, vocabulary, aligned, bounds):
+    import public_tokenizers
+
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()][:80] + [(None, t) for t in ODD_TEXTS]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", F.lit("x")).repartition(3)
+    want = sorted((str(d), *x) for (d, _), x in zip(rows, brute_alignment([aligned(t) for _, t in rows])))
+    got = alignment.align(docs, vocabulary, public_tokenizers.path("piece_bpe_32k.model"), **bounds)
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == want
+
+
+def test_alignment_of_no_documents(spark, vocabulary):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert alignment.align(docs, vocabulary, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_long_slices_count_links_once():
+    a, b = np.array([5, 5, 6, 5] * 5), np.array([9, 8] * 5)  # one slice of 20 by 10 tokens
+    sizes = np.ones(10, np.int64), np.full(10, 2, np.int64)
+    s = alignment.Slices(a, np.array([0, 20]), b, np.array([0, 10]), *sizes)
+    assert s.n_a.sum() == 20 and len(s.n_a) == 10
+    whole = alignment.Slices(a, np.array([0, 20]), b[:2], np.array([0, 2]), sizes[0], np.full(10, 10, np.int64))
+    whole.n_a, whole.n_b, whole.a_first, whole.b_first, whole.doc = (np.array([x]) for x in (20, 10, 0, 0, 0))
+    whole.b = b
+    doc, pair, n = whole.links()
+    assert dict(zip(pair.tolist(), n.tolist())) == {x << 16 | y: 5 * 5 * (3 if x == 5 else 1) for x in (5, 6) for y in (8, 9)} and not doc.any()

@@ -1,11 +1,12 @@
-"""Queries that audit a corpus: divergence of sources, secrets."""
+"""Queries that audit a corpus: alignment of tokenizers, divergence of sources, secrets."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import divergence, secrets
+from tidewake.llm import alignment, divergence, secrets
 from tidewake.llm.common import table
 
 
@@ -56,6 +57,10 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN told USING (row)"""
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=3, most=200)
 
@@ -79,5 +84,5 @@ DIVERGENCE_SQL = r"""
               UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM cells WHERE c > 0 AND p > q)
     SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every) WHERE part = 'pair' OR rank <= 200"""
 
-QUERIES = {"op12_divergence": op12_divergence, "op13_secrets": op13_secrets}
+QUERIES = {"op11_alignment": op11_alignment, "op12_divergence": op12_divergence, "op13_secrets": op13_secrets}
 ORACLE_SQL = {"op12_divergence": DIVERGENCE_SQL, "op13_secrets": _secrets_sql()}
