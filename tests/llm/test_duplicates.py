@@ -180,28 +180,49 @@ def test_colliding_words_and_word_sequences_stay_apart(spark):
 
 
 def brute_windows(docs, size=20):
-    """{doc: which words go} with rows of one id taken as one document."""
-    first = {}
-    words = {}
-    for d, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+    """[(doc_id, words, which go)]: each row is a document, in the order of ids, rows of one id by their texts' digests."""
+    first, out = {}, []
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest() if t is not None else ""
+    for at, (d, text) in enumerate(sorted(docs, key=lambda r: (r[0] is None, r[0] or 0, digest(r[1])))):
         w = WORD.findall(text or "")
-        words.setdefault(d, w)
-        for k in range(len(w) - size + 1):
-            first.setdefault(tuple(w[k : k + size]), (d, k))
-    out = {}
-    for d, w in words.items():
         gone = [False] * len(w)
         for k in range(len(w) - size + 1):
-            if first[tuple(w[k : k + size])] != (d, k):
+            if first.setdefault(tuple(w[k : k + size]), (at, k)) != (at, k):
                 gone[k : k + size] = [True] * size
-        out[d] = (w, gone)
+        out.append((d, w, gone))
     return out
 
 
+def shared_tables():
+    """Rows without an id or with one id, with texts that repeat, that repeat nowhere, and that are shorter than others."""
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"u{rng.random()}" for _ in range(n))
+    a, b, short = some(60), some(60), some(30)
+    yield [(1, a), (2, a), (2, b)]
+    yield [(1, f"{a} {b}"), (None, f"x {a} y"), (None, some(60))]
+    yield [(1, f"q {a}"), (2, f"x {a} y"), (2, "short text"), (2, None), (2, "")]
+    yield [(1, a), (None, a), (None, b), (None, b), (None, f"{short} {b}"), (7, short), (7, f"{short} {a}"), (7, short)]
+    pool = [some(25) for _ in range(12)]
+    yield [(rng.choice([None, None, 1, 2, rng.randrange(50)]), " ".join(rng.choice(pool) for _ in range(rng.randrange(4)))) for _ in range(120)]
+
+
+@pytest.mark.parametrize("rows", list(shared_tables()))
+def test_rows_that_share_an_id_or_have_none_are_documents(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'c' AS doc", "5 AS tie", "length(text) AS n_chars").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_windows(rows)
+    kept = [(str(d), " ".join(x for x, g in zip(w, gone) if not g)) for d, w, gone in want]
+    got = q_duplicates.op6_recompression(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.kept_sha256, r.n_removed) for r in got) == sorted((str(d), hashlib.sha256(k.encode()).hexdigest(), sum(gone)) for (d, k), (_, _, gone) in zip(kept, want))
+    cut = recompression.without_repeats(docs, 20)
+    assert cut.columns == docs.columns
+    assert sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in cut.collect()) == sorted(kept)
+
+
 def test_removed_words_equal_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in q_duplicates.op6_recompression(spark, SF).collect()}
-    for d, (w, gone) in brute_windows(docs).items():
+    for d, w, gone in brute_windows(docs):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         assert got[d] == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
@@ -215,7 +236,7 @@ def test_small_alphabets_runs_and_overlaps(spark, letters):
     rows += [(100 + d, f"{rows[d][1]} {passage} {rows[-d][1]}") for d in range(12)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = {r.doc_id: r.spans for r in recompression.marked(docs).collect()}
-    for d, (w, gone) in brute_windows(rows).items():
+    for d, w, gone in brute_windows(rows):
         kept, n = recompression.kept_words(" ".join(w), [s.asDict() for s in got[d] or []], 20)
         assert (n, kept) == (len(w), [x.encode() for x, g in zip(w, gone) if not g]), d
 

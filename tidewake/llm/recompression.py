@@ -11,9 +11,10 @@ The words in the anchor's reach are the segment's key. Only keys that occur twic
 of equal words repeat as a whole; of other segments with a common key, one of each wording is compared window by window.
 Fingerprints of compared words have 128 bits.
 
-Cases: null or empty texts and texts shorter than a window keep every word; a window may overlap its earlier copy; rows
-of one doc_id are one document, of which each row keeps what the other keeps; a row without an id comes after all
-others; an empty table gives no rows; other columns pass untouched.
+Cases: null or empty texts and texts shorter than a window keep every word; a window may overlap its earlier copy; each row
+is a document of its own, also rows that share an id or have none: rows come in the order of their ids, those without one
+last, and rows of one id in the order of their texts' SHA-256; equal rows are told apart, so one of them keeps its words; an
+empty table gives no rows; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import BASES, MIX, Work, chunks, mix, span_hashes, text_bytes, unused
+from tidewake.llm.common import BASES, MIX, Work, chunks, few, mix, span_hashes, text_bytes, unused
 
 ROUNDS = 2
 #: Bytes of text whose words are named at a time.
@@ -142,32 +143,52 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             yield batch.slice(a, b - a)
 
 
-def ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+def keyed(docs: DataFrame, work: Work, doc: str = "doc", tie: str = "tie") -> DataFrame:
+    """The documents with a key of their own, (doc, tie): tie is 0 but in rows that share an id or have none.
+
+    Those rows are dealt out by ranges of (doc, digest of the text), equal ones by chance, and numbered in that order. The
+    numbers are written, so every plan that reads them finds the same.
+    """
+    shared = work.save(docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"), "shared_ids")
+    at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    plain = docs.withColumns({doc: at, tie: F.lit(0).cast("bigint")})
+    if shared.isEmpty():
+        return plain
+    known = few(shared.filter("doc_id IS NOT NULL"))
+    named, digest, chance = docs.filter("doc_id IS NOT NULL"), unused("digest", docs.columns), unused("chance", docs.columns)
+    odd = docs.filter("doc_id IS NULL").unionAll(named.join(known, "doc_id", "left_semi").select(docs.columns))
+    odd = odd.withColumns({doc: at, digest: F.sha2("text", 256), chance: F.rand()}).repartitionByRange(doc, digest, chance).sortWithinPartitions(doc, digest, chance)
+    odd = work.save(odd.withColumn(tie, F.monotonically_increasing_id() + 1).drop(digest, chance), "shared_rows")
+    return plain.filter("doc_id IS NOT NULL").join(known, "doc_id", "left_anti").select(odd.columns).unionAll(odd)
+
+
+def places(batch: pa.RecordBatch, text: np.ndarray) -> list[pa.Array]:
+    """Keys (doc, tie), the first two columns, of the texts with these numbers."""
+    return [batch.column(k).take(pa.array(text)) for k in (0, 1)]
 
 
 def anchors(docs: DataFrame, window: int, full: bool) -> DataFrame:
-    """The segments of every text: key, and with full their words' fingerprints c1 and c2, doc, first window and count."""
+    """The segments of every text (doc, tie, text): key, and with full their words' fingerprints c1 and c2, place and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in chunked(batches):
+        for batch, w in chunked(batches, 2):
             s, n, lo, hi = segments(w.names, w.ends, window)
             out = [pa.array(span_hashes(w.names, lo, hi).view(np.int64))]
             if full:
                 c1, c2 = w.spans(s, s + n - 1 + window)
                 text = w.text[s]
-                out += [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(ids(batch)[text]), pa.array((s - w.begin[text]).astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, ["key", "c1", "c2", "doc", "start", "n"][: len(out)])
+                out += [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), *places(batch, text), pa.array((s - w.begin[text]).astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, ["key", "c1", "c2", "doc", "tie", "start", "n"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key bigint" + ", c1 bigint, c2 bigint, doc bigint, start int, n int" * full)
+    return docs.select("doc", "tie", "text").mapInArrow(run, "key bigint" + ", c1 bigint, c2 bigint, doc bigint, tie bigint, start int, n int" * full)
 
 
 def windows(marked: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc, start) of every window of the segments `spans` of (doc_id, text, spans)."""
+    """(w1, w2, doc, tie, start) of every window of the segments `spans` of (doc, tie, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in chunked(batches):
-            spans = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
+        for batch, w in chunked(batches, 2):
+            spans = batch.column(3).fill_null([]) if batch.column(3).null_count else batch.column(3)
             text = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
             flat = spans.flatten()
             start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -175,17 +196,21 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
             at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             place = w.begin[text[row]] + at
             w1, w2 = w.spans(place, place + window)
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids(batch)[text[row]]), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *places(batch, text[row]), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "tie", "start"])
+
+    return marked.select("doc", "tie", "text", "spans").mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, tie bigint, start int")
+
 
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, start int")
+#: Where a segment or window stands, in the order of documents.
+PLACE = ("doc", "tie", "start")
 
 
 def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Those of the rows whose place (doc, start) is not the first of their group.
+    """Those of the rows whose place is not the first of their group.
 
     Groups are reduced before the shuffle, and their rows are joined on one key more, so a large group can be split.
     """
-    place = F.struct("doc", "start")
+    place = F.struct(*PLACE)
     first = rows.groupBy(by).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").select(*by, "first")
     key = F.xxhash64(*by)
     return rows.withColumn("k", key).join(first.withColumn("k", key), ["k", *by]).filter(place > F.col("first"))
@@ -193,28 +218,29 @@ def _later(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _spans(rows: DataFrame, name: str) -> DataFrame:
     """One row per document with its (start, n) spans: as many as the document has segments at most."""
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias(name))
+    return rows.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias(name))
 
 
 def marked(docs: DataFrame, window: int = 20, name: str = "spans") -> DataFrame:
     """The documents with a column of (start, n) for windows start .. start + n - 1 that repeat an earlier window."""
     doc = unused("doc", docs.columns)
+    tie = unused("tie", docs.columns)
     work = Work(docs.sparkSession, "recompression")
-    keys = work.save(anchors(docs, window, full=False).groupBy("key").count().filter("count > 1").select("key"), "keys")
-    near = work.save(anchors(docs, window, full=True).join(keys, "key"), "segments")
+    whole = keyed(docs, work, doc, tie)
+    texts = whole.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "text")
+    keys = work.save(anchors(texts, window, full=False).groupBy("key").count().filter("count > 1").select("key"), "keys")
+    near = work.save(anchors(texts, window, full=True).join(keys, "key"), "segments")
     work.drop("keys")
-    wordings = work.save(near.groupBy("key", "c1", "c2", "n").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")), "wordings")
+    place = F.struct(*PLACE)
+    wordings = work.save(near.groupBy("key", "c1", "c2", "n").agg(F.min(place).alias("first"), F.count("*").alias("times")), "wordings")
     several = wordings.groupBy("key").count().filter("count > 1").select("key")
-    compared = wordings.withColumn("k", F.xxhash64("key")).join(several.withColumn("k", F.xxhash64("key")), ["k", "key"]).select("first.doc", "first.start", "n")
+    compared = wordings.withColumn("k", F.xxhash64("key")).join(several.withColumn("k", F.xxhash64("key")), ["k", "key"]).select("first.*", "n")
     compared = work.save(_spans(compared, "spans"), "compared")
-    place = F.struct("doc", "start")
-    repeated = near.join(wordings.filter("times > 1").select("key", "c1", "c2", "n", "first"), ["key", "c1", "c2", "n"]).filter(place > F.col("first")).select("doc", "start", "n")
-    texts = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
-    pieces = windows(texts.select(F.col(doc).alias("doc"), "doc_id", "text").join(compared, "doc"), window)
-    pieces = work.save(pieces, "windows")
-    found = work.save(_spans(repeated.unionAll(_later(pieces, ["w1", "w2"]).select("doc", "start", F.lit(1).alias("n"))), name), "spans")
-    work.keep("spans")
-    return texts.join(found.withColumnRenamed("doc", doc), doc, "left").drop(doc)
+    repeated = near.join(wordings.filter("times > 1").select("key", "c1", "c2", "n", "first"), ["key", "c1", "c2", "n"]).filter(place > F.col("first")).select(*PLACE, "n")
+    pieces = work.save(windows(texts.join(compared, ["doc", "tie"]), window), "windows")
+    found = work.save(_spans(repeated.unionAll(_later(pieces, ["w1", "w2"]).select(*PLACE, F.lit(1).alias("n"))), name), "spans")
+    work.keep("spans", "shared_rows", "shared_ids")
+    return whole.join(found.withColumnsRenamed({"doc": doc, "tie": tie}), [doc, tie], "left").drop(doc, tie)
 
 
 def covered(count: int, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:

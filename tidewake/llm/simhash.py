@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewake.llm.common import BASES, Work, few, mix, span_hashes, text_chunks
+from tidewake.llm.common import BASES, Work, few, mix, span_hashes, text_chunks, unused
 from tidewake.llm.graph import components
 
 SEED = 42
@@ -363,9 +363,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, see
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without their copies and near copies: of each group the one with the smallest doc_id stays."""
     work = Work(docs.sparkSession, "copies")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():  # rows of one id: the first by text stays
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        docs = docs.withColumn("_row", F.row_number().over(order)).filter("_row = 1 or doc_id is null").drop("_row")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = work.save(repeated, "repeated")
+    if not repeated.isEmpty():  # of the rows of one id the first by the digest of its text stays; equal rows are one
+        ids, row = few(repeated), unused("row", docs.columns)
+        named = docs.filter("doc_id is not null")
+        several = named.join(ids, "doc_id", "left_semi").select(docs.columns)
+        first = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull())).alias(row)).select(f"{row}.*")
+        docs = docs.filter("doc_id is null").unionAll(named.join(ids, "doc_id", "left_anti").select(docs.columns)).unionAll(first)
     gone = work.save(near_duplicates(docs, size, similarity).filter("doc_id <> component_id").select("doc_id"), "gone")
     return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
