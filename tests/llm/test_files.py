@@ -141,14 +141,25 @@ def test_pictures_round_trip(shape):
     assert (media.decode(b"P5 %d %d 65535\n" % (shape[1], shape[0]) + deep.tobytes()) == deep).all()
 
 
-@pytest.mark.parametrize("raw", [b"", b"GIF89a", b"P5\n3 3\n255\nab", b"P5\nx", b"P5 0 5 255\n", b"BM123", media.encode_bmp(np.zeros((4, 4), np.uint8))[:-3], b"P3 2 2 255 1 2 3"])
+def few_colours():
+    """A BMP whose palette has fewer colours than its pixels ask for."""
+    raw = bytearray(media.encode_bmp(np.full((4, 4), 200, np.uint8)))
+    raw[46:50] = (7).to_bytes(4, "little")
+    return bytes(raw)
+
+
+@pytest.mark.parametrize("raw", [b"", b"GIF89a", b"P5\n3 3\n255\nab", b"P5\nx", b"P5 0 5 255\n", b"BM123", media.encode_bmp(np.zeros((4, 4), np.uint8))[:-3], b"P3 2 2 255 1 2 3", b"P2 2 1 255 -5 300", b"P2 1 1 255 300", b"P2 1 1 255 99999999999999999999999999", b"P2 99999999999999999999 9999999999999999999 255 1", b"P5 1 1 100\n\xff", b"P1 2 1 1 7", b"P2 1 1 255 x", few_colours()])
 def test_broken_pictures(raw):
     with pytest.raises(ValueError):
         media.decode(raw)
 
 
-def test_area_resize_is_the_mean_of_cells():
+@pytest.mark.parametrize("strip", [1, 100, 1 << 19])
+def test_area_resize_is_the_mean_of_cells(monkeypatch, strip):
+    monkeypatch.setattr(media, "STRIP", strip)
     rng = np.random.default_rng(2)
+    colour = rng.integers(0, 256, (48, 30, 3))
+    assert np.allclose(media.area_resize(colour, 8, 6), colour.reshape(8, 6, 6, 5, 3).mean(axis=(1, 3)))
     x = rng.integers(0, 256, (48, 30)).astype(np.uint8)
     assert np.allclose(media.area_resize(x, 8, 6), x.reshape(8, 6, 6, 5).mean(axis=(1, 3)))
     wide = np.kron(x, np.ones((7, 11)))  # a cell of any size: cells of the enlarged picture are whole pixels

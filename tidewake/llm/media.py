@@ -33,6 +33,8 @@ PAD = 255
 TAIL = 32
 #: Sides of the thumbnail that is kept as an NPY tile.
 THUMB = 8
+#: Samples whose sums are made at a time.
+STRIP = 1 << 19
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -71,14 +73,21 @@ def _decode_netpbm(raw: bytes) -> np.ndarray:
         at = m.end()
     w, h, most = head[0], head[1], head[2] if len(head) > 2 else 1
     shape = (h, w, 3) if kind in (3, 6) else (h, w)
-    n = int(np.prod(shape))
+    n = w * h * (3 if kind in (3, 6) else 1)
     if not 0 < most < 65536 or n == 0:
         raise ValueError("empty picture or wrong range")
+    if n > len(raw) * (8 if kind == 4 else 1):
+        raise ValueError("picture is cut short")
     if kind == 1:  # digits may touch
-        bits = np.frombuffer(re.sub(rb"\s|#[^\n]*", b"", raw[at:]), np.uint8)[:n] - 48
+        bits = np.frombuffer(re.sub(rb"\s|#[^\n]*", b"", raw[at:]), np.uint8)[:n] - np.uint8(48)
+        if (bits > 1).any():
+            raise ValueError("a bit is neither 0 nor 1")
         flat = 1 - bits
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", raw[at:]).split()[:n], np.int64)
+        found = re.sub(rb"#[^\n]*", b"", raw[at:]).split()[:n]
+        if not all(x.isdigit() and len(x) < 9 for x in found):
+            raise ValueError("a sample is no number in range")
+        flat = np.array(found, np.int64)
     elif kind == 4:
         rows = np.frombuffer(raw, np.uint8, offset=at + 1)
         wide = -(-w // 8)
@@ -92,6 +101,8 @@ def _decode_netpbm(raw: bytes) -> np.ndarray:
         flat = np.frombuffer(raw, np.uint8 if size == 1 else ">u2", n, at + 1)
     if flat.size < n:
         raise ValueError("picture is cut short")
+    if int(flat.max()) > most:
+        raise ValueError("a sample is out of range")
     return np.asarray(flat).astype(np.uint8 if most < 256 else np.uint16, copy=False).reshape(shape)
 
 
@@ -109,6 +120,8 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
         n = struct.unpack_from("<I", raw, 46)[0] or 256
+        if int(rows.max()) >= n:
+            raise ValueError("a pixel has no colour in the palette")
         palette = np.frombuffer(raw, np.uint8, 4 * n, 14 + size).reshape(n, 4)[:, 2::-1]
         grey = (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
         return palette[rows][..., 0] if grey else palette[rows]
@@ -118,20 +131,33 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each of height x width equal cells; a pixel on an edge counts by its share."""
     h, w = samples.shape[:2]
-    sums = np.zeros((h + 1, w + 1, *samples.shape[2:]))
-    np.cumsum(np.cumsum(samples, axis=0, dtype=np.float64), axis=1, out=sums[1:, 1:])
     y, x = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     a, b = np.minimum(y.astype(int), h - 1), np.minimum(x.astype(int), w - 1)
+    sums = _integral_rows(samples, np.concatenate([a, a + 1]))
     fy, fx = (y - a).reshape(-1, *[1] * (samples.ndim - 1)), (x - b).reshape(1, -1, *[1] * (samples.ndim - 2))
-    rows = sums[a] * (1 - fy) + sums[a + 1] * fy
+    rows = sums[: len(a)] * (1 - fy) + sums[len(a) :] * fy
     at = rows[:, b] * (1 - fx) + rows[:, b + 1] * fx
     return np.diff(np.diff(at, axis=0), axis=1) / (h / height * (w / width))
 
 
+def _integral_rows(samples: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows of the integral image: the sums over all samples above and to the left. It is made in strips of STRIP samples."""
+    h, w = samples.shape[:2]
+    out = np.zeros((len(wanted), w + 1, *samples.shape[2:]))
+    above, strip = np.zeros(out.shape[1:]), max(1, STRIP // max(1, samples[0].size))
+    for top in range(0, h, strip):
+        sums = np.cumsum(np.cumsum(samples[top : top + strip], axis=0, dtype=np.float64), axis=1)
+        here = np.flatnonzero((wanted > top) & (wanted <= top + len(sums)))
+        out[here] = above
+        out[here, 1:] += sums[wanted[here] - top - 1]
+        above[1:] += sums[-1]
+    return out
+
+
 def difference_hash(samples: np.ndarray) -> str:
     """64 bits: whether each of 8 x 8 cells is darker than the next to its right."""
-    grey = samples if samples.ndim == 2 else samples.mean(axis=2)
-    small = area_resize(grey, 8, 9)
+    small = area_resize(samples, 8, 9)
+    small = small if small.ndim == 2 else small.mean(axis=2)
     return np.packbits(small[:, 1:] > small[:, :-1] + 1e-9).tobytes().hex()
 
 
