@@ -30,8 +30,9 @@ from tidewake.llm.common import Work, few, gather, text_bytes, text_chunks
 UNIT = 1_000_000_000
 #: Bytes of text whose pointers are sorted at a time.
 SLICE_BYTES = 8 << 20
-#: Rows of kept terms in one part of a language, and sources whose pairs with all others one task sums.
-PART_ROWS, BLOCK_SOURCES = 500_000, 512
+#: Rows of kept terms in one part of a language, or the number of its pairs of sources if that is more, as each part has a
+#: sum for each pair; and sources whose pairs with all others one task sums.
+PART_ROWS, BLOCK_SOURCES = 50_000, 512
 #: Cells of sources by terms that are compared at a time.
 CELLS = 1 << 18
 
@@ -151,7 +152,7 @@ def kept_terms(docs: DataFrame, work: Work, least: int = 3, slice_bytes: int = S
     lang = Window.partitionBy("lang")
     sums = {"all": F.sum("n").over(lang), "kinds": F.sum("v").over(lang), "sources": F.count("*").over(lang), "rows": F.sum("rows").over(lang), "place": F.row_number().over(lang.orderBy("source")) - 1}
     groups = groups.fillna(0, ["n", "v", "rows"]).withColumns(sums)
-    groups = groups.select("lang", "source", (F.col("n") + F.col("kinds")).alias("total"), (F.col("all") + F.col("kinds")).alias("lang_total"), "kinds", "sources", F.greatest(F.lit(1), F.ceil(F.col("rows") / part_rows)).cast("int").alias("parts"), "place")
+    groups = groups.select("lang", "source", (F.col("n") + F.col("kinds")).alias("total"), (F.col("all") + F.col("kinds")).alias("lang_total"), "kinds", "sources", F.greatest(F.lit(1), F.ceil(F.col("rows") / F.greatest(F.lit(part_rows), F.col("sources") * F.col("sources")))).cast("int").alias("parts"), "place")
     return kept, work.save(groups, "groups")
 
 
