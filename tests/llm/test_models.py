@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +57,46 @@ def test_a_page_with_everything(trees):
     assert main_text(trees, source) == "Big news today First paragraph of the story is long enough & more words follow here. Second one, equally étonnant, with several words in it."
 
 
+@pytest.mark.parametrize("part", [*(f"<{n}>" for n in sorted(html_text.HIDDEN)), "<select><p>x", "<svg ", "<a ", '<a "x>" ', "<head ", "</head", "<svg/>", "<svg></svg></svg>", "<p class='x"])
+@pytest.mark.parametrize("tail", ["", '"'])
+def test_a_megabyte_of_one_tag_is_read_soon(part, tail):
+    began = time.process_time()
+    html_text.Page(part * (1_000_000 // len(part)) + tail)
+    assert time.process_time() - began < 15
+
+
+def skipped(source, name, pos):
+    """The end of a hidden element by counting its tags from its own on, or -1."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(source, pos):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if depth == 0:
+            return m.end()
+    return -1
+
+
+def test_ends_of_hidden_elements_equal_counting():
+    rng = random.Random(4)
+    for _ in range(300):
+        source = "".join(rng.choice(["<svg>", "</svg>", "<SVG a=1>", "<svg/>", "<p>", "x", "</svg >"]) for _ in range(rng.randrange(30)))
+        nested = html_text.Nested(source, "svg")
+        for m in re.finditer("<svg[^>/]*>", source, re.I):
+            assert nested.end(m.end()) == skipped(source, "svg", m.end())
+
+
+#: Pages of other make than the training layouts, with the text that a reader would call the article.
+OTHER_MAKE = [
+    ("<html><body><table><tr><td><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Shop</a></td></tr><tr><td><font><p>The harbour opened at dawn, and the first boats left for the banks before seven in the morning.<p>By noon most of them had come back with full holds.</font></td></tr><tr><td>Copyright 1999 <a href=/m>Mail us</a></td></tr></table></body></html>", "The harbour opened at dawn, and the first boats left for the banks before seven in the morning. By noon most of them had come back with full holds."),
+    ("<body><div id=wrap><ul class=menu><li><a href=1>One</a><li><a href=2>Two</a></ul><div class=post><h2>A walk in the hills</h2><p>We set out early and met nobody until the pass, where two shepherds sat by a fire.</p><blockquote>It will rain, said one of them, and it did rain all day long.</blockquote><p>We came home wet but happy with what we had seen.</p></div><div class=share><a href=x>Share</a> <a href=y>Like</a></div></div></body>", "A walk in the hills We set out early and met nobody until the pass, where two shepherds sat by a fire. It will rain, said one of them, and it did rain all day long. We came home wet but happy with what we had seen."),
+    (f'<body><nav><a href=/>Home</a> <a href=/b>About</a></nav><div class="related-text"><h1>New bridge</h1>{"<p>The council met on Tuesday to discuss the new bridge, and it agreed to build it.</p>" * 6}</div><footer>Copyright</footer></body>', "New bridge" + " The council met on Tuesday to discuss the new bridge, and it agreed to build it." * 6),
+]
+
+
+@pytest.mark.parametrize("source,text", OTHER_MAKE)
+def test_pages_of_other_make(trees, source, text):
+    assert main_text(trees, source) == text
+
+
 def test_odd_pages(spark, trees):
     rows = [(1, None), (2, ""), (3, "<div>" * 3000 + "deep" + "</div>" * 10), (4, "</p></div></nowhere>"), (5, "<p"), (6, "a < b <3"), (7, "<article><p>" + "Kept words are many here. " * 20), (8, "<script>never ends"), (9, '<p class="x>y">quoted attribute text goes on for quite some time here.</p>')]
     pages = spark.createDataFrame(rows, "page_id bigint, html string").selectExpr("*", "'t' AS text", "1 AS key")

@@ -15,6 +15,7 @@ their parent; unknown tags are blocks; stray end tags are ignored; deep nesting
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -64,10 +65,45 @@ ONE_HOT = np.eye(len(TAGS) + 1)
 EDGE = np.array([t in ("nav", "header", "footer", "aside", "form") for t in TAGS] + [False])
 ARTICLE = np.array([t in ("article", "main") for t in TAGS] + [False])
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
+#: Tags with a quote that never ends are read anew from each of their signs; after so many of them in a page a tag ends with
+#: the next ">", whatever is quoted.
+BROKEN_TAGS = 200
+PLAIN_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
+HEAD = re.compile(r"</head\s*>|<body\b", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Nested:
+    """Tags of one name in a page, and for each place the end of the element that was opened before it.
+
+    A tag changes the depth by one, so the element ends with the first later tag after which the depth is one less; the
+    tags of each depth are listed once, and looked up for every element.
+    """
+
+    def __init__(self, source: str, name: str):
+        self.starts, self.depths, depth = [], [], 0
+        self.ends: dict[int, tuple[list[int], list[int]]] = {}
+        for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(source, 0, source.rfind(">") + 1):  # so each try ends soon
+            step = -1 if m[1] else int(name not in RAW and not m[0].endswith("/>"))
+            if step:
+                self.starts.append(m.start())
+                self.depths.append(depth)
+                depth += step
+                if step < 0:
+                    at, ends = self.ends.setdefault(depth, ([], []))
+                    at.append(len(self.starts) - 1)
+                    ends.append(m.end())
+        self.depths.append(depth)
+
+    def end(self, pos: int) -> int:
+        """The end of the element that was opened just before pos; -1 if it never ends."""
+        k = bisect.bisect_left(self.starts, pos)
+        at, ends = self.ends.get(self.depths[k] - 1, ([], []))
+        j = bisect.bisect_left(at, k)
+        return ends[j] if j < len(ends) else -1
+
+
 class Page:
     """Block elements of a page in order, and the pieces of text in them."""
 
@@ -76,6 +112,7 @@ class Page:
         self.labels: list[int] = []
         self.pieces: list[tuple[int, int, str]] = []  # block, run of text without a block edge, text
         self.sizes = [0]
+        self.events: dict[str, object] = {}
         self.read(source)
 
     def text(self, at: int, flow: int, raw: str, linked: bool) -> None:
@@ -88,14 +125,15 @@ class Page:
     def read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open blocks
         opened: dict[str, int] = {}
-        at, flow, link, pos, size = 0, 0, 0, 0, len(source)
+        at, flow, link, pos, size, broken = 0, 0, 0, 0, len(source), 0
         while pos < size:
             begin = source.find("<", pos)
             if begin < 0:
                 self.text(at, flow, source[pos:], link > 0)
                 break
-            m = TAG.match(source, begin)
+            m = (TAG if broken < BROKEN_TAGS else PLAIN_TAG).match(source, begin)
             if not m:
+                broken += source[begin + 1 : begin + 2].isalpha() or source[begin + 1 : begin + 2] == "/"
                 self.text(at, flow, source[pos : begin + 1], link > 0)
                 pos = begin + 1
                 continue
@@ -156,16 +194,15 @@ class Page:
         if closed and name not in RAW:
             return pos
         if name == "head":
-            m = re.compile(r"</head\s*>|<body\b", re.I).search(source, pos)
-            return pos if not m else (m.end() if m[0].startswith("</") else m.start())
-        depth, here = 1, pos
-        either = re.compile(rf"<(/?){name}\b[^>]*>", re.I)
-        while m := either.search(source, here):
-            here = m.end()
-            depth += -1 if m[1] else (name not in RAW and not m[0].endswith("/>"))
-            if depth == 0:
-                return here
-        return len(source) if name in RAW else pos
+            if name not in self.events:
+                self.events[name] = [(m.start(), m.end(), m[0].startswith("</")) for m in HEAD.finditer(source)]
+            found = self.events[name]
+            k = bisect.bisect_left(found, (pos,))
+            return pos if k == len(found) else found[k][1] if found[k][2] else found[k][0]
+        if name not in self.events:
+            self.events[name] = Nested(source, name)
+        end = self.events[name].end(pos)
+        return end if end >= 0 else len(source) if name in RAW else pos
 
     @staticmethod
     def kinds_of(attributes: str) -> int:
@@ -319,6 +356,15 @@ def training_page(rng: np.random.Generator, words: list[str]) -> str:
 
     inner, u = article(), rng.random()
     name, attributes = ("article", rng.choice(["", "", ' class="post"'])) if u < 0.45 else ("main", "") if u < 0.55 else (str(rng.choice(["div", "section", "td"])), f' {rng.choice(["class", "id"])}="{rng.choice(TOKENS["content"].split())}"' if u < 0.85 else rng.choice(["", ' class="c12"']))
+    make = rng.random()
+    if make < 0.05:  # nothing but the article
+        return inner if make < 0.03 else f"<html><body data-label=1>{inner}</body></html>"
+    if make < 0.08:  # a page in the cells of a table
+        cells = [f"<tr><td>{menu(4)}</td></tr>", f"<tr data-label=1><td data-label=1>{inner}</td></tr>", f"<tr><td>{some(2, 8)} {menu(2)}</td></tr>"]
+        return f"<html><body data-label=1><table data-label=1>{''.join(cells)}</table></body></html>"
+    if make < 0.16:  # a token of another kind around the article
+        other = str(rng.choice(["side", "share", "menu", "head", "notice"]))
+        name, attributes = str(rng.choice(["div", "section"])), f' class="{rng.choice(TOKENS[other].split())}-{rng.choice(["text", "body", "story", "page"])}"'
     body = wrap(name, attributes, inner + (part("comment") if rng.random() < 0.2 else ""), True) if rng.random() < 0.9 else inner
     if rng.random() < 0.4:
         side = part("side")
