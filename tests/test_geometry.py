@@ -7,7 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewake.operators import polygons, routing, tracks
+from tidewake.operators import coast, polygons, routing, tracks
 from tidewake.sources import adapter, files
 from tidewake.streaming import ingest as stream
 
@@ -73,7 +73,7 @@ def test_ways_holes_and_checks(spark):
     box = lambda a, b: [{"lat": a, "lon": a}, {"lat": a, "lon": b}, {"lat": b, "lon": b}, {"lat": b, "lon": a}]
     outer = spark.createDataFrame([("r", 1, box(0.0, 9.0)), ("r", 2, box(20.0, 29.0))], f"region string, ring_id int, ring {polygons.RING}")
     inner = spark.createDataFrame([("r", box(1.0, 2.0)), ("r", box(3.0, 4.0))], f"region string, ring {polygons.RING}")
-    assert {r.ring_id: len(r.holes) for r in polygons.with_holes(outer, inner).collect()} == {1: 2, 2: 0}
+    assert {r.ring_id: len(r.holes) for r in coast.with_holes(outer, inner).collect()} == {1: 2, 2: 0}
     bad = spark.createDataFrame([("r", 1, box(0.0, 9.0)[:3]), ("r", 2, box(80.0, 99.0)), ("r", 3, box(0.0, 1.0))], f"region string, ring_id int, ring {polygons.RING}")
     assert {r.ring_id: r.problem for r in polygons.problems(bad).collect()} == {1: "too few points", 2: "off the globe"}
 

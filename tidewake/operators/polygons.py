@@ -74,32 +74,42 @@ def clip(ring: Column, south: float, west: float, north: float, east: float) ->
     return _mapped(ring, one)
 
 
+def _thin(p: np.ndarray, km: float | Callable[[float, float], float]) -> np.ndarray:
+    if len(p) < 3:
+        return p
+    keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
+    keep[[0, -1]] = True
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        scale = np.array([111.32, 111.32 * np.cos(np.radians(p[a, 0]))])
+        d, inner = (p[b] - p[a]) * scale, (p[a + 1 : b] - p[a]) * scale
+        t = np.clip(inner @ d / max(float(d @ d), 1e-12), 0, 1)
+        away = np.hypot(*(inner - t[:, None] * d).T)
+        k = a + 1 + int(away.argmax())
+        if away.max() > (km(*p[k]) if callable(km) else km):
+            keep[k] = True
+            todo += [(a, k), (k, b)]
+    return p[keep]
+
+
 def thinned(ring: Column, km: float | Callable[[float, float], float]) -> Column:
     """Fewer points, none of the dropped further than `km` from the new line; ends stay.
 
     If km is a function of (lat, lon), the distance allowed is that at the furthest point.
     """
+    return _mapped(ring, lambda p: _thin(p, km))
 
-    def one(p: np.ndarray) -> np.ndarray:
-        if len(p) < 3:
-            return p
-        keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
-        keep[[0, -1]] = True
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            scale = np.array([111.32, 111.32 * np.cos(np.radians(p[a, 0]))])
-            d, inner = (p[b] - p[a]) * scale, (p[a + 1 : b] - p[a]) * scale
-            t = np.clip(inner @ d / max(float(d @ d), 1e-12), 0, 1)
-            away = np.hypot(*(inner - t[:, None] * d).T)
-            k = a + 1 + int(away.argmax())
-            if away.max() > (km(*p[k]) if callable(km) else km):
-                keep[k] = True
-                todo += [(a, k), (k, b)]
-        return p[keep]
 
-    return _mapped(ring, one)
+def thinned_by(ring: Column, km: Column) -> Column:
+    """The same with a distance of its own for each ring."""
+
+    @F.pandas_udf(RING)
+    def run(rings: pd.Series, far: pd.Series) -> pd.Series:
+        return pd.Series([[{"lat": a, "lon": b} for a, b in _thin(np.array([(p["lat"], p["lon"]) for p in r], float).reshape(-1, 2), k)] for r, k in zip(rings, far)])
+
+    return run(ring, km.cast("double"))
 
 
 def span_km(ring: Column) -> Column:
@@ -138,15 +148,6 @@ def joined_ways(ways: DataFrame) -> DataFrame:
     return ways.dropDuplicates(["region", "id"]).groupBy("region").applyInPandas(chain, "region string, closed boolean, nodes array<bigint>")
 
 
-def with_holes(outers: DataFrame, inners: DataFrame) -> DataFrame:
-    """Outer rings (region, ring_id, ring) with the inner rings whose first point they hold."""
-    first = F.element_at("hole", 1)
-    h = inners.select("region", F.col("ring").alias("hole"))
-    met = outers.join(h, "region").filter(geo.in_ring(first["lat"], first["lon"], F.col("ring")))
-    held = met.groupBy("region", "ring_id").agg(F.collect_list("hole").alias("holes"))
-    return outers.join(held, ["region", "ring_id"], "left").withColumn("holes", F.coalesce("holes", F.array().cast(f"array<{RING}>")))
-
-
 def problems(rings: DataFrame) -> DataFrame:
     """Rings (region, ring_id, ring) that break a rule: too few points, points off the globe."""
     p = F.transform("ring", lambda p: ~p["lat"].between(-90, 90) | ~p["lon"].between(-180, 180))

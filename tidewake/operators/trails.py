@@ -5,7 +5,6 @@ A trail is a vessel's fixes and the inferred points between them, cut into journ
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
-from tidewake.operators import listings, routing, tracks
+from tidewake.operators import coast, listings, routing, tracks
+from tidewake.operators.stored import saved
 
 #: Rings around a place, km from one to the next and the furthest, and places on a ring; fixed values.
 WATER_RINGS, DEPTH_RINGS, MARGIN_KM = (0.1, 3.0, 24), (0.05, 2.0, 16), 0.2
@@ -22,17 +22,6 @@ REPAIRS = 6
 PLACE = "struct<lat:double,lon:double>"
 
 
-def saved(rows: DataFrame) -> DataFrame:
-    """The rows from the shared checkpoint folder, with their lineage cut."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trails-"))
-    return rows.checkpoint()
-
-
 def first_water(lat: np.ndarray, lon: np.ndarray, land: routing.Land, rings: tuple[float, float, int]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the first ring around each place that touches water, from 1, and the place on it; 0 if none does."""
     step, most, places = rings
@@ -80,16 +69,9 @@ def depth_km(lat: Column, lon: Column, land: routing.Land) -> Column:
 
 
 def in_polygons(points: DataFrame, rings: DataFrame, degrees: float = 0.25) -> DataFrame:
-    """The points with the (region, ring_id) of each ring that holds them: joined by cells of the rings' boxes, then tested.
-
-    A ring is repeated once for each cell of its box, so the table of rings may be of any size; no side is broadcast.
-    """
-    cell = lambda c: F.floor(F.col(c) / degrees)
-    boxes = rings.join(listings.boxes_of(rings), ["region", "ring_id"])
-    cells = boxes.withColumn("cy", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("cx", F.explode(F.sequence(cell("west"), cell("east"))))
-    met = points.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(cells, ["cy", "cx"])
-    held = met.filter(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")) & geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
-    return held.select(*points.columns, "region", "ring_id")
+    """The points with the (region, ring_id) of each ring that holds them: places by cells and edges by bands of latitude."""
+    held = coast.places_in_rings(points, rings.select("region", "ring_id", "ring"), ("region", "ring_id"), degrees=degrees)
+    return points.join(held, ["lat", "lon"]).select(*points.columns, "region", "ring_id")
 
 
 def numbered(points: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("view_queries", "function_queries", "ingest_queries", "track_queries", "listing_queries", "trail_queries")
+MODULES: tuple[str, ...] = ("view_queries", "function_queries", "ingest_queries", "track_queries", "listing_queries", "trail_queries", "coast_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
