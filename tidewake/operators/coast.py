@@ -283,7 +283,7 @@ def rings_by_box(rings: DataFrame, boxes: DataFrame, degrees: float = 5.0, least
     met = cells.join(box_cells(boxes, degrees), ["cy", "cx"]).filter("s <= north AND south <= n AND w <= east AND west <= e")
     pairs = met.select("region", "ring_id", *boxes.columns).distinct()
     cut = clipped_rings(rings.join(pairs, ["region", "ring_id"])).filter(F.size("ring") >= least)
-    ends = F.element_at("ring", 1), F.element_at("ring", -1)
+    ends = F.get("ring", F.lit(0)), F.try_element_at("ring", F.lit(-1))
     return cut.withColumn("ring", F.when(ends[0] == ends[1], F.col("ring")).otherwise(F.concat("ring", F.array(ends[0]))))
 
 

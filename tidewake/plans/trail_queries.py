@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
-from tidewake.operators import polygons, routing, tracks, trails
+from tidewake.operators import polygons, quality, routing, tracks, trails
 from tidewake.plans import function_queries, sql, track_queries
 from tidewake.plans.function_queries import HOLE, RING, _edges
 from tidewake.plans.track_queries import DEDUP, JOURNEYS, RUNS, SEQ, SPLINE, land
@@ -176,3 +176,26 @@ def _job(p, vessel, spark):
     made = trails.job(p, vessel, stored, state, shore())
     changes = [d.withColumn("action", F.lit(a)) for a, d in (("insert", made.insert.drop("t")), ("delete", made.delete), ("state", made.state))]
     return changes[0].unionByName(changes[1], allowMissingColumns=True).unionByName(changes[2], allowMissingColumns=True)
+
+
+#: Inferred points that lie off the track, so that curves turn sharply far from any real fix.
+ASTRAY = "lat + CASE WHEN event_id % 13 = 0 THEN 8E-2 ELSE 0E0 END"
+SEQ_ASTRAY = SEQ.replace("SELECT *,", f"SELECT * REPLACE ({ASTRAY} AS lat),")
+TURNED = "CASE WHEN d > 180 THEN 360 - d ELSE d END"
+QUALITY = (
+    f"""turns AS (SELECT mmsi, journey, event_id, i, lat, lon, {TURNED} AS turn FROM (SELECT *, abs({sql.degrees(sql.bearing('lat', 'lon', 'y2', 'x2'))} - {sql.degrees(sql.bearing('y0', 'x0', 'lat', 'lon'))}) % 360 AS d FROM
+        (SELECT *, lag(lat) OVER w AS y0, lag(lon) OVER w AS x0, lead(lat) OVER w AS y2, lead(lon) OVER w AS x2 FROM curve WINDOW w AS (PARTITION BY mmsi, journey ORDER BY t, event_id, i)) n WHERE y0 IS NOT NULL AND y2 IS NOT NULL) a)""",
+    f"far AS (SELECT mmsi, turn FROM turns s WHERE turn >= 60 AND NOT EXISTS (SELECT 1 FROM journeys r WHERE r.mmsi = s.mmsi AND r.journey = s.journey AND NOT r.fake AND {sql.haversine('r.lat', 'r.lon', 's.lat', 's.lon', 6371.0)} <= 2))",
+    "legs AS (SELECT *, cos(radians((lat1 + lat2) / 2)) * 111.32E0 AS kx FROM ctl WHERE lat2 IS NOT NULL)",
+    """away AS (SELECT mmsi, journey, event_id, i, min(sqrt(pow(px - (ax + t * dx), 2) + pow(py - (ay + t * dy), 2))) AS km FROM (SELECT *, greatest(0E0, least(1E0, coalesce(((px - ax) * dx + (py - ay) * dy) / nullif(dx * dx + dy * dy, 0), 0E0))) AS t
+        FROM (SELECT c.mmsi, c.journey, c.event_id, c.i, c.lat * 111.32E0 AS py, c.lon * kx AS px, lat1 * 111.32E0 AS ay, lon1 * kx AS ax, (lat2 - lat1) * 111.32E0 AS dy, (lon2 - lon1) * kx AS dx FROM curve c JOIN legs l ON l.mmsi = c.mmsi AND l.journey = c.journey) a) b GROUP BY ALL)""",
+)
+
+
+@query("curve_quality", sql.over(f"""SELECT mmsi, samples, coalesce(kinks, 0) AS kinks, {sql.rounded('coalesce(turn, 0E0)', 4)} AS max_far_turn, {sql.rounded('coalesce(km, 0E0)')} AS max_overshoot_km FROM (SELECT mmsi, count(*) AS samples FROM curve GROUP BY mmsi)
+    LEFT JOIN (SELECT mmsi, count(*) AS kinks, max(turn) AS turn FROM far GROUP BY mmsi) USING (mmsi) LEFT JOIN (SELECT mmsi, max(km) AS km FROM away GROUP BY mmsi) USING (mmsi)""", SEQ_ASTRAY, JOURNEYS, SPLINE, *QUALITY))
+def _quality(p, vessel, spark):
+    """Sharp turns far from real fixes, and how far a curve strays from the lines between its control points."""
+    track = tracks.journeys(p.withColumn("lat", F.col("lat") + F.when(F.col("fake"), 8e-2).otherwise(0.0)))
+    out = quality.report(tracks.spline(track), track)
+    return out.select("mmsi", "samples", "kinks", geo.rounded(F.col("max_far_turn"), 4).alias("max_far_turn"), geo.rounded(F.col("max_overshoot_km")).alias("max_overshoot_km"))
