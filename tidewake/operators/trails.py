@@ -9,12 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
 from tidewake.operators import coast, listings, routing, tracks
-from tidewake.operators.stored import saved
+from tidewake.operators.stored import Parts, saved
 
 #: Rings around a place, km from one to the next and the furthest, and places on a ring; fixed values.
 WATER_RINGS, DEPTH_RINGS, MARGIN_KM = (0.1, 3.0, 24), (0.05, 2.0, 16), 0.2
@@ -173,10 +173,17 @@ class Changes:
     state: DataFrame
 
 
-def due(vessel: DataFrame, state: DataFrame) -> DataFrame:
-    """Vessels of interest with a newer fix than their trail was made from (state: mmsi, done)."""
+def due(vessel: DataFrame, state: DataFrame, regenerate: bool = False, only: int | None = None, limit: int | None = None) -> DataFrame:
+    """Vessels of interest with a newer fix than their trail was made from (state: mmsi, done); regenerate takes all.
+
+    A limit takes those that were seen last first; `only` is one vessel's number.
+    """
     wanted = vessel.filter("of_interest = 1 and first_direct_at is not null and last_pos_ts is not null")
-    return wanted.join(state, "mmsi", "left").filter("done is null or last_pos_ts > done").select("mmsi", "last_pos_ts")
+    wanted = wanted if only is None else wanted.filter(F.col("mmsi") == only)
+    if not regenerate:
+        wanted = wanted.join(state, "mmsi", "left").filter("done is null or last_pos_ts > done")
+    seen = "last_seen" if "last_seen" in vessel.columns else "last_pos_ts"
+    return (wanted if limit is None else wanted.orderBy(F.desc(seen), "mmsi").limit(limit)).select("mmsi", "last_pos_ts")
 
 
 def converged(fixes: DataFrame, stored: DataFrame, land: routing.Land) -> DataFrame:
@@ -191,13 +198,14 @@ def converged(fixes: DataFrame, stored: DataFrame, land: routing.Land) -> DataFr
     return free.filter("land_free").select("mmsi")
 
 
-def job(fixes: DataFrame, vessel: DataFrame, stored: DataFrame, state: DataFrame, land: routing.Land) -> Changes:
+def job(fixes: DataFrame, vessel: DataFrame, stored: DataFrame, state: DataFrame, land: routing.Land, regenerate: bool = False, only: int | None = None, limit: int | None = None) -> Changes:
     """Brings the stored points up to date for vessels with newer fixes whose curves cross land.
 
     Only segments that are new are inserted; a segment with the same ends and length stays as it is. A vessel with a
-    single fix is only noted. The tier of a segment is the wider one of its ends.
+    single fix is only noted. The tier of a segment is the wider one of its ends. With `regenerate` all segments of the
+    vessels are written anew.
     """
-    todo = due(vessel, state)
+    todo = due(vessel, state, regenerate, only, limit)
     points = fixes.join(todo, "mmsi", "left_semi")
     some = points.groupBy("mmsi").count().filter("count > 1").select("mmsi")
     old = stored.join(todo, "mmsi", "left_semi")
@@ -205,7 +213,7 @@ def job(fixes: DataFrame, vessel: DataFrame, stored: DataFrame, state: DataFrame
     gaps = routing.land_gaps(points.join(open_, "mmsi", "left_semi"), land).withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length")))
     want = saved(routing.water_routes(gaps, land).join(gaps.select("mmsi", "segment", vessels.wider(F.col("a_tier"), F.col("b_tier")).alias("tier")), ["mmsi", "segment"]))
     have, key = old.join(open_, "mmsi", "left_semi").select("mmsi", "segment").distinct(), ["mmsi", "segment"]
-    insert = want.join(have, key, "left_anti").select("mmsi", "segment", "seq", "t", "lat", "lon", "tier")
+    insert = (want if regenerate else want.join(have, key, "left_anti")).select("mmsi", "segment", "seq", "t", "lat", "lon", "tier")
     return Changes(have.join(want, key, "left_anti"), insert, todo.withColumnRenamed("last_pos_ts", "done"))
 
 
@@ -213,3 +221,31 @@ def applied(stored: DataFrame, delete: DataFrame, insert: DataFrame) -> DataFram
     """The store after a job: whole segments go and come, so applying the same changes twice changes nothing."""
     gone = delete.select("mmsi", "segment").unionByName(insert.select("mmsi", "segment")).distinct()
     return stored.join(gone, ["mmsi", "segment"], "left_anti").unionByName(insert)
+
+
+class TrailStore:
+    """Inferred points, their segments, and the state of the trail job, as tables of parts below one folder.
+
+    State is written last: a job that dies in between finds its vessels still due, and writes the same segments again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, count: int = 64):
+        self.points = Parts(spark, f"{root}/inferred_positions", "mmsi bigint, segment string, seq int, t double, lat double, lon double, tier string", ("mmsi", "segment"), F.pmod(F.xxhash64("mmsi"), F.lit(count)))
+        self.segments = Parts(spark, f"{root}/inferred_segments", "mmsi bigint, segment string, points bigint, t_first double, t_last double, tier string", ("mmsi", "segment"), F.pmod(F.xxhash64("mmsi"), F.lit(count)))
+        self.state = Parts(spark, f"{root}/precompute_state", "mmsi bigint, done bigint", ("mmsi",), count=count)
+
+    def apply(self, changes: Changes, token: str) -> None:
+        """Write what a job has decided; whatever of it is there already stays as it is."""
+        insert, state = saved(changes.insert), saved(changes.state)
+        gone = saved(changes.delete.select("mmsi", "segment"))
+        of_segment = insert.groupBy("mmsi", "segment").agg(F.count("*").alias("points"), F.min("t").alias("t_first"), F.max("t").alias("t_last"), F.first("tier").alias("tier"))
+        self.points.replace(insert, gone, token)
+        self.segments.replace(of_segment, gone, token)
+        self.state.replace(state, None, token)
+
+    def run(self, fixes: DataFrame, vessel: DataFrame, land: routing.Land, token: str, **how) -> bool:
+        """The whole job under a token, once: whether it had to run."""
+        if token in self.state.manifest()["tokens"]:
+            return False
+        self.apply(job(fixes, vessel, self.points.read(), self.state.read(), land, **how), token)
+        return True
