@@ -123,3 +123,15 @@ def test_stream_scans_and_replay(spark, tmp_path):
     n = positions.count()
     stream.apply_scan(again, again.version, raw.select("seq", "value"), "global", 0)  # a batch that is in already
     assert again.positions().count() == n
+
+
+def test_bands_of_a_ring_equal_the_test_of_all_edges():
+    rng = np.random.default_rng(5)
+    for n in (3, 31, 32, 33, 500, 5000):
+        angle = np.sort(rng.random(n)) * 2 * np.pi
+        ring = np.stack([48 + np.sin(angle) * (1 + rng.random(n) / 3), -123 + np.cos(angle) * (1 + rng.random(n) / 3)], axis=1)
+        ring[: n // 3, 0] = np.round(ring[: n // 3, 0], 1)  # level edges, and vertices at the height of points
+        lat, lon = rng.uniform(46, 50, 4000), rng.uniform(-125, -121, 4000)
+        lat[:500], lon[:20], lat[:20] = np.round(lat[:500], 1), ring[:20, 1] if n > 20 else lon[:20], ring[:20, 0] if n > 20 else lat[:20]
+        near = (lat >= ring[:, 0].min()) & (lat <= ring[:, 0].max()) & (lon >= ring[:, 1].min()) & (lon <= ring[:, 1].max())
+        assert (routing.Banded([tuple(p) for p in ring.tolist()]).holds(lat, lon) == (near & routing.inside(lat, lon, ring))).all()

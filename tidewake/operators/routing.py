@@ -32,6 +32,57 @@ def inside(lat: np.ndarray, lon: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Edges from which a ring is looked up by bands of latitude, and pairs of points and edges that are made at a time.
+FEW_EDGES, PAIRS = 32, 1 << 20
+
+
+class Banded:
+    """A ring with its box, and the edges that each band of latitude meets: a point is tested against those of its band."""
+
+    def __init__(self, ring: Ring):
+        r = np.array(ring, float).reshape(-1, 2)
+        self.ring, self.box = r, (*r.min(axis=0), *r.max(axis=0))
+        self.bands = 0
+        if len(r) < FEW_EDGES:
+            return
+        q = np.roll(r, 1, axis=0)
+        level = r[:, 0] != q[:, 0]
+        self.p, self.q = r[level], q[level]
+        self.bands = max(1, len(self.p) // 4)
+        self.tall = max((self.box[2] - self.box[0]) / self.bands, 1e-12)
+        first, last = self._band(np.minimum(self.p[:, 0], self.q[:, 0])), self._band(np.maximum(self.p[:, 0], self.q[:, 0]))
+        edge = np.repeat(np.arange(len(self.p)), last - first + 1)
+        band = np.arange(len(edge)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[edge]
+        self.edges = edge[np.argsort(band, kind="stable")]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(band, minlength=self.bands))])
+
+    def _band(self, lat: np.ndarray) -> np.ndarray:
+        return np.clip(((lat - self.box[0]) / self.tall).astype(np.int64), 0, self.bands - 1)
+
+    def holds(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        south, west, north, east = self.box
+        out = (lat >= south) & (lat <= north) & (lon >= west) & (lon <= east)
+        if out.any():
+            out[out] = self._inside(lat[out], lon[out]) if self.bands else inside(lat[out], lon[out], self.ring)
+        return out
+
+    def _inside(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        band, out = self._band(lat), np.zeros(len(lat), bool)
+        count = self.at[band + 1] - self.at[band]
+        until = np.concatenate([[0], np.cumsum(count)])
+        a = 0
+        while a < len(lat):
+            b = max(a + 1, int(np.searchsorted(until, until[a] + PAIRS, "right")) - 1)
+            n = count[a:b]
+            point = np.repeat(np.arange(a, b), n)
+            edge = self.edges[np.repeat(self.at[band[a:b]] - (until[a:b] - until[a]), n) + np.arange(len(point))]
+            (ya, xa), (yb, xb), y, x = self.p[edge].T, self.q[edge].T, lat[point], lon[point]
+            met = ((ya > y) != (yb > y)) & (x < (xb - xa) * (y - ya) / (yb - ya) + xa)
+            out[a:b] = np.bincount(point[met] - a, minlength=b - a) % 2 == 1
+            a = b
+        return out
+
+
 #: The least size of a cell in km, and cells of the longer side of a grid at most; fixed values.
 FLOOR_KM, MAX_CELLS = 0.2, 4000
 
@@ -42,13 +93,16 @@ class Land:
 
     land: list[Ring]
     water: list[tuple[Ring, list[Ring]]] = field(default_factory=list)
+    #: Rings that were looked up here, by identity; they do not go to the tasks.
+    made: dict[int, Banded] = field(default_factory=dict, repr=False, compare=False, kw_only=True)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": {}}
 
     def _near(self, ring: Ring, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        r = np.array(ring, float)
-        out = (lat >= r[:, 0].min()) & (lat <= r[:, 0].max()) & (lon >= r[:, 1].min()) & (lon <= r[:, 1].max())
-        if out.any():
-            out[out] = inside(lat[out], lon[out], r)
-        return out
+        if id(ring) not in self.made:
+            self.made[id(ring)] = Banded(ring)
+        return self.made[id(ring)].holds(lat, lon)
 
     def is_land(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         lat, lon = np.asarray(lat, float), np.asarray(lon, float)
@@ -97,9 +151,9 @@ class RegionLand(Land):
         for region in self.regions:
             if region.land:
                 here = left & region.holds(lat, lon)
-                out[here] = Land(self.land + region.land, self.water + region.water).is_land(lat[here], lon[here])
+                out[here] = Land(self.land + region.land, self.water + region.water, made=self.made).is_land(lat[here], lon[here])
                 left &= ~here
-        out[left] = Land(self.land + self.coarse, self.water).is_land(lat[left], lon[left])
+        out[left] = Land(self.land + self.coarse, self.water, made=self.made).is_land(lat[left], lon[left])
         for region in self.regions:
             here = left & out & region.holds(lat, lon)
             for outer, holes in region.water:
@@ -113,7 +167,7 @@ class RegionLand(Land):
     def within(self, south: float, west: float, north: float, east: float) -> RegionLand:
         """With those regions only whose boxes meet an extent."""
         met = [r for r in self.regions if r.box[0] <= north and south <= r.box[2] and r.box[1] <= east and west <= r.box[3]]
-        return RegionLand(self.land, self.water, self.coarse, met)
+        return RegionLand(self.land, self.water, self.coarse, met, made=self.made)
 
 
 def distance(lat1, lon1, lat2, lon2):
