@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import dims, vessels
 from tidewake.functions import sql as sqlfuncs
-from tidewake.operators import ingest, routing, tracks
+from tidewake.operators import ingest, polygons, routing, tracks, views
 from tidewake.sources import ais
 
 FIX = "mmsi bigint, id bigint, t bigint, lat double, lon double, speed double, heading int, vessel_type int, tier string"
@@ -121,3 +121,20 @@ def test_running_totals_with_ties_and_nulls(spark):
     assert {r.id: (r.total, r.place) for r in got.collect()} == want
     none = spark.createDataFrame([], "at bigint, id bigint, n int")
     assert ingest.running(none, ("at", "id"), {"total": F.col("n")}).count() == 0
+
+
+def test_a_backslash_in_a_search_is_itself(spark):
+    rows = [(1, "A\\B"), (2, "AB"), (3, "A_B"), (4, "AxB"), (5, None)]
+    vessel = spark.createDataFrame(rows, "mmsi bigint, name string").selectExpr("*", "1 AS vessel_type", "1 AS length", "1 AS of_interest", "'direct' AS max_extent", "mmsi AS last_seen")
+    found = lambda term: sorted(r.mmsi for r in views.search(vessel, term).collect())
+    assert found("a\\b") == [1] and found("\\") == [1] and found("a_b") == [1, 3, 4] and found("b\\") == []
+
+
+def test_ring_problems_with_boxes(spark):
+    ring = lambda *p: [{"lat": float(a), "lon": float(b)} for a, b in p]
+    nan = float("nan")
+    rows = [("a", 1, ring((0, 0), (0, 1), (1, 1), (1, 0))), ("a", 2, ring((0, 0), (0, 1), (1, 1))), ("a", 3, ring((0, 0), (0, 9), (1, 1), (1, 0))), ("a", 4, ring((0, 0), (0, nan), (1, 1), (1, 0))), ("a", 5, ring((0, 0), (0, 1.5), (1, 1), (1.5, 0)))]
+    rings = spark.createDataFrame(rows, "region string, ring_id int, ring array<struct<lat:double,lon:double>>")
+    boxes = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 0.0, 0.0, 1.0, 1.0), ("c", 1.0, 0.0, 1.0, 1.0)], "region string, south double, west double, north double, east double")
+    got = sorted((r.region, r.ring_id or 0, r.problem) for r in polygons.problems(rings, boxes).collect())
+    assert got == [("a", 2, "too few points"), ("a", 3, "outside the region"), ("a", 4, "off the globe"), ("b", 0, "no rings"), ("c", 0, "malformed box"), ("c", 0, "no rings")]

@@ -348,12 +348,34 @@ def region_water(bodies: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def build_counts(islands: DataFrame, bodies: DataFrame, boxes: DataFrame) -> DataFrame:
     """(region, kind, stage, rings): how many rings of land and water are there, meet the region's box, and are long enough."""
-    out = []
+    whole = None
     for kind, rings, least in (("land", islands.select("region", "ring_id", "ring"), REGION_DROP_KM), ("water", bodies.select("region", "ring_id", "ring"), NAVIGABLE_KM)):
-        cut = rings_by_box(rings, boxes).filter("region = box")
-        long = cut.filter(polygons.span_km(F.col("ring")) >= least)
-        out += [d.groupBy("region").agg(F.count("*").alias("rings")).select("region", F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), "rings") for stage, d in (("given", rings), ("cut", cut), ("kept", long))]
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionAll(part)
+        given = rings.groupBy("region").agg(F.count("*").alias("rings")).select("region", F.lit("given").alias("stage"), "rings")
+        cut = rings_by_box(rings, boxes).filter("region = box").select("region", (polygons.span_km(F.col("ring")) >= least).alias("long"))
+        sums = cut.groupBy("region").agg(F.count("*").alias("cut"), F.sum(F.col("long").cast("bigint")).alias("kept")).unpivot("region", ["cut", "kept"], "stage", "rings").filter("rings > 0")
+        both = given.unionAll(sums).select("region", F.lit(kind).alias("kind"), "stage", "rings")
+        whole = both if whole is None else whole.unionAll(both)
     return whole
+
+
+#: Regions of several zones, and boxes that replace derived ones; around a zone, degrees; fixed values.
+MERGED = {"astoria-columbia": "columbia", "portland": "columbia", "golden-gate": "sf-bay", "sf-bay-oakland": "sf-bay"}
+OVERRIDES = {"columbia": (45.45, -124.10, 46.35, -122.50)}
+CORRIDORS = {"inside-passage": (54.0, -134.2, 58.6, -129.6), "bc-central-south": (50.7, -130.8, 52.5, -125.5), "bc-central-north": (52.3, -130.8, 54.15, -126.5)}
+ZONE_PAD = 0.2
+
+
+def derived_regions(zones: DataFrame, merged: dict[str, str] = MERGED, overrides: dict[str, tuple] = OVERRIDES, corridors: dict[str, tuple] = CORRIDORS) -> DataFrame:
+    """(region, south, west, north, east): boxes of zones (zone_id, south .. east), some of several zones, with more around.
+
+    A box that is given replaces a derived one; corridors are regions without a zone.
+    """
+    spark = zones.sparkSession
+    named = spark.createDataFrame(list(merged.items()) or [("", "")], "zone_id string, into string")
+    given = "region string, g_south double, g_west double, g_north double, g_east double"
+    fixed = spark.createDataFrame([(k, *map(float, b)) for k, b in overrides.items()], given)
+    of = zones.join(F.broadcast(named), "zone_id", "left").withColumn("region", F.coalesce("into", "zone_id"))
+    box = of.groupBy("region").agg((F.min("south") - ZONE_PAD).alias("south"), (F.min("west") - ZONE_PAD).alias("west"), (F.max("north") + ZONE_PAD).alias("north"), (F.max("east") + ZONE_PAD).alias("east"))
+    box = box.join(F.broadcast(fixed), "region", "left").select("region", *[F.coalesce(f"g_{s}", geo.rounded(F.col(s), 4)).alias(s) for s in SIDES])
+    more = spark.createDataFrame([(k, *map(float, b)) for k, b in corridors.items()], "region string, south double, west double, north double, east double")
+    return box.unionByName(more)

@@ -148,7 +148,24 @@ def joined_ways(ways: DataFrame) -> DataFrame:
     return ways.dropDuplicates(["region", "id"]).groupBy("region").applyInPandas(chain, "region string, closed boolean, nodes array<bigint>")
 
 
-def problems(rings: DataFrame) -> DataFrame:
-    """Rings (region, ring_id, ring) that break a rule: too few points, points off the globe."""
-    p = F.transform("ring", lambda p: ~p["lat"].between(-90, 90) | ~p["lon"].between(-180, 180))
-    return rings.select("region", "ring_id", F.when(F.size("ring") < 4, "too few points").when(F.exists(p, lambda x: x), "off the globe").alias("problem")).filter("problem is not null")
+#: How far points of a region's rings may lie outside its box, degrees; a fixed value.
+BOX_PAD = 0.5
+
+
+def problems(rings: DataFrame, boxes: DataFrame | None = None, pad: float = BOX_PAD) -> DataFrame:
+    """Rings (region, ring_id, ring) that break a rule: too few points, points off the globe or that are no numbers.
+
+    With boxes (region, south, west, north, east) also rings that leave their region's padded box; then a region whose box
+    is malformed, or that has no rings, is a row without a ring_id.
+    """
+    off = F.transform("ring", lambda p: ~F.coalesce(p["lat"].between(-90, 90) & p["lon"].between(-180, 180), F.lit(False)) | F.isnan(p["lat"]) | F.isnan(p["lon"]))
+    problem = F.when(F.size("ring") < 4, "too few points").when(F.exists(off, lambda x: x), "off the globe")
+    if boxes is None:
+        return rings.select("region", "ring_id", problem.alias("problem")).filter("problem is not null")
+    box = boxes.select("region", *[F.col(c).alias(f"box_{c}") for c in ("south", "west", "north", "east")])
+    inside = lambda p: p["lat"].between(F.col("box_south") - pad, F.col("box_north") + pad) & p["lon"].between(F.col("box_west") - pad, F.col("box_east") + pad)
+    out = rings.join(box, "region", "left").select("region", "ring_id", problem.when(F.exists("ring", lambda p: ~inside(p)), "outside the region").alias("problem"))
+    bad = box.filter("box_south >= box_north OR box_west >= box_east").select("region", F.lit("malformed box").alias("problem"))
+    empty = box.join(rings.select("region").distinct(), "region", "left_anti").select("region", F.lit("no rings").alias("problem"))
+    whole = bad.unionAll(empty).select("region", F.lit(None).cast(rings.schema["ring_id"].dataType).alias("ring_id"), "problem")
+    return out.filter("problem is not null").unionAll(whole)

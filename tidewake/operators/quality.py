@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo
 from tidewake.operators import listings, routing, trails
+from tidewake.operators.stored import saved
 
 #: Sharp turns, degrees; how near a real fix excuses one, km; depth on land that counts as a defect, km; fixed values.
 TURN_DEG, REAL_KM, DEFECT_KM = 60.0, 2.0, 0.15
@@ -50,7 +51,8 @@ def strayed(samples: DataFrame, controls: DataFrame) -> DataFrame:
     """(mmsi, journey, id, i, km): the distance of each sample from the nearest line of its journey's control points."""
     line = lines(controls)
     flat = controls.groupBy(*CURVE).agg(F.min(F.cos(F.radians("lat"))).alias("least_cos"))
-    own = samples.select(*CURVE, "id", "i", "lat", "lon").join(line, [*CURVE, "id"], "left").withColumn("bound", F.coalesce(_own_km(), F.lit(0.0)))
+    own = samples.select(*CURVE, "id", "i", "lat", "lon").join(line, [*CURVE, "id"], "left").select(*CURVE, "id", "i", "lat", "lon", F.coalesce(_own_km(), F.lit(0.0)).alias("bound"))
+    own = saved(own)  # three steps read it
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("bound") / CELL_KM))).cast("int")
     open_ = own.filter("bound > 0").select(*CURVE, "id", "i", "lat", "lon", "bound", level.alias("level")).join(flat, [*CURVE])
     side = F.pow(F.lit(2.0), F.col("level")) * CELL_KM / KM_DEG  # of a cell, degrees of latitude

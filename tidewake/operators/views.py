@@ -96,8 +96,12 @@ def statistics(vessel: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def search(vessel: DataFrame, term: str, limit: int = 30) -> DataFrame:
-    """Vessels whose number starts with the term or whose name holds it; a term of digits ranks numbers first."""
+    """Vessels whose number starts with the term or whose name holds it; a term of digits ranks numbers first.
+
+    Percent signs and underscores of the term are wildcards; a backslash is itself.
+    """
     number, name = F.col("mmsi").cast("string"), F.upper(F.coalesce("name", F.lit("")))
+    term = term.replace("\\", "\\\\")
     match, rank = name.like(f"%{term.upper()}%"), []
     if term.isdigit():
         match, rank = match | number.like(f"{term}%"), [F.when(number == term, 0).when(number.like(f"{term}%"), 1).otherwise(2)]

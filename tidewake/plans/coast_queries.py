@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo
-from tidewake.operators import coast
+from tidewake.functions import dims, geo
+from tidewake.operators import coast, polygons, views
 from tidewake.plans import sql
 from tidewake.sources import adapter
 
@@ -163,3 +163,31 @@ def _build(fix, spark):
     ring = _rectangle(F.col("lat") - half, F.col("lon") - half, F.col("lat") + half, F.col("lon") + half)
     rings = fix.select(F.when(F.col("mmsi") % 2 == 0, "a").otherwise("b").alias("region"), F.col("event_id").alias("ring_id"), ring.alias("ring"))
     return coast.build_counts(rings, rings, _boxes(spark))
+
+
+#: The zones that a fix lies in, as boxes of those fixes.
+MET_ZONES = "met_zones AS (SELECT zone_id, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM zone_fix GROUP BY zone_id)"
+MERGES = {"port-angeles": "strait", "victoria-harbour": "strait", "esquimalt": "strait"}
+GIVEN = {"nanaimo": (49.05, -124.1, 49.3, -123.7)}
+
+
+@query("region_boxes", sql.over(f"""SELECT region, coalesce(g[1], {sql.rounded('min(south) - 2E-1', 4)}) AS south, coalesce(g[2], {sql.rounded('min(west) - 2E-1', 4)}) AS west, coalesce(g[3], {sql.rounded('max(north) + 2E-1', 4)}) AS north, coalesce(g[4], {sql.rounded('max(east) + 2E-1', 4)}) AS east
+    FROM (SELECT *, CASE WHEN zone_id IN ({', '.join(map(repr, MERGES))}) THEN 'strait' ELSE zone_id END AS region, CASE WHEN zone_id = 'nanaimo' THEN [{', '.join(f'{x!r}E0' for x in GIVEN['nanaimo'])}] END AS g FROM met_zones) GROUP BY region, g
+    UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', " + ', '.join(f'{float(x)!r}E0' for x in b) + ')' for k, b in coast.CORRIDORS.items())}) c""", sql.ZONES, sql.ZONE_FIX, MET_ZONES))
+def _regions(fix, spark):
+    """Boxes of regions: some zones are one region, one has a given box, and corridors have no zone."""
+    z = views.zone_of(fix.select("event_id", "lat", "lon"), dims.zones(spark))
+    zones = z.groupBy("zone_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+    return coast.derived_regions(zones, MERGES, GIVEN)
+
+
+DAYS = "days AS (SELECT CASE WHEN mmsi % 3 = 0 THEN 'a' WHEN mmsi % 3 = 1 THEN 'b' ELSE 'd' END AS region, mmsi * 100000 + ts // 86400000 AS ring_id, lat, lon FROM fix)"
+
+
+@query("region_problems", sql.over("""SELECT * FROM (SELECT region, ring_id, CASE WHEN count(*) < 4 THEN 'too few points' WHEN bool_or(lat NOT BETWEEN south - 5E-1 AND north + 5E-1 OR lon NOT BETWEEN west - 5E-1 AND east + 5E-1) THEN 'outside the region' END AS problem
+    FROM days JOIN boxes ON region = box GROUP BY region, ring_id) WHERE problem IS NOT NULL UNION ALL SELECT box, NULL, 'no rings' FROM boxes WHERE box NOT IN (SELECT region FROM days)""", _values(BOXES), DAYS))
+def _problems(fix, spark):
+    """Days of vessels as rings of regions: those that are too short, or leave the region's padded box."""
+    region = F.when(F.col("mmsi") % 3 == 0, "a").when(F.col("mmsi") % 3 == 1, "b").otherwise("d")
+    rings = fix.groupBy(region.alias("region"), F.expr("mmsi * 100000 + ts div 86400000").alias("ring_id")).agg(F.collect_list(F.struct("lat", "lon")).alias("ring"))
+    return polygons.problems(rings, _boxes(spark).withColumnRenamed("box", "region"))
