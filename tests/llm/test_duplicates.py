@@ -137,6 +137,27 @@ def test_crowded_balls_lose_no_pair(spark, monkeypatch):
     assert got == want and sum(d != r for d, r in want.items()) == 40
 
 
+def test_a_third_of_all_rows_are_near_copies_of_one_text(spark, monkeypatch):
+    """A crowded block is dealt into parts: the groups are those of brute force, and no key of a ball has the whole crowd."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 4)
+    rng = random.Random(11)
+    hot, rows = [f"h{x}" for x in range(200)], []
+    for k in range(180):
+        text = list(hot) if k % 3 == 0 else [f"t{k}-{x}" for x in range(60)]
+        text[rng.randrange(len(text))] = f"own{k}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = roots_by_brute_force(rows)
+    assert got == want and sum(d != r for d, r in want.items()) == 59
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {d for d, r in want.items() if d == r}
+    least = F.min(F.struct("doc_id", "near", "blocks")).alias("least")
+    same = simhash.signatures(docs, 5, simhash.TABLE_SEEDS).filter("doc_id is not null").groupBy("h1", "h2").agg(least).select(F.col("least.doc_id").alias("class"), "least.near", "least.blocks")
+    pairs = simhash.ball_pairs(same, Work(spark, "crowd")).collect()
+    hot_pairs = [r for r in pairs if r.a % 3 == 0 and r.b % 3 == 0]
+    assert {r.b for r in hot_pairs} == {d for d, _ in rows if d % 3 == 0 and d > 0} and len(hot_pairs) < 60 * 59 / 4
+
+
 def test_near_duplicates_find_appended_and_cut_blocks(spark):
     """Texts of distinct words, and copies with a block added or missing at similarities from 0.80 to 0.90."""
     rng = random.Random(9)

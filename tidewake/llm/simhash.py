@@ -230,19 +230,28 @@ def frequency(heavy: DataFrame) -> np.ndarray:
     return out
 
 
-def ball_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a, b) of classes (class, near, blocks) that meet in the ball of one of their blocks.
+def ball_pairs(classes: DataFrame, work: Work, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of classes (class, near, blocks) that meet in the ball of one of their blocks, or in a crowded block.
 
     A class is paired with the least class of a ball's value and with the one before it in the order of the shingles'
     fingerprint, if that fingerprint allows the similarity; so a value gives at most two pairs for each of its classes.
+    A block with over PART_ROWS classes is crowded: only its least class goes into the balls, the others are paired with
+    that one, and with the one before them in their part of the block. So no task orders more classes of one key than
+    PART_ROWS times the masks of a ball, whatever a hot block has; what does not meet is left to the prefix filter.
     """
-    masks = F.array(*[F.lit(m).cast("bigint") for m in ball(HALF_BITS, radius // 2)])
+    masks, me = F.array(*[F.lit(m).cast("bigint") for m in ball(HALF_BITS, radius // 2)]), F.struct("class", "near")
     block = classes.select("class", "near", F.posexplode("blocks").alias("seed", "fp"))
-    block = block.withColumn("fp", F.shiftleft(F.col("seed").cast("bigint"), HALF_BITS).bitwiseOR(F.col("fp")))
-    met = block.select("class", "near", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    group, me = Window.partitionBy("value"), F.struct("class", "near")
+    block = block.select("class", "near", F.shiftleft(F.col("seed").cast("bigint"), HALF_BITS).bitwiseOR(F.col("fp")).alias("fp"))
+    sizes = block.groupBy("fp").agg(F.count("*").alias("rows"), F.min(me).alias("least")).filter(F.col("rows") > PART_ROWS)
+    crowded = work.save(sizes.select("fp", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts"), "least"), "crowded")
+    known = few(crowded)
+    dealt = block.join(known, "fp").withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
+    dealt = dealt.select("class", "near", "least", F.lag(me).over(Window.partitionBy("fp", "part").orderBy("near", "class")).alias("before"))
+    calm = block.join(known, "fp", "left_anti").select("class", "near", "fp").unionAll(crowded.select("least.class", "least.near", "fp"))
+    met = calm.select("class", "near", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    group = Window.partitionBy("value")
     met = met.select("class", "near", F.min(me).over(group).alias("least"), F.lag(me).over(group.orderBy("near", "class")).alias("before"))
-    pairs = met.select("class", "near", F.explode(F.array("least", "before")).alias("other")).filter("other is not null and other.class <> class")
+    pairs = met.unionAll(dealt).select("class", "near", F.explode(F.array("least", "before")).alias("other")).filter("other is not null and other.class <> class")
     pairs = pairs.filter(F.bit_count(F.col("near").bitwiseXOR(F.col("other.near"))) <= NEAR_BITS)
     return pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
 
@@ -336,7 +345,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, see
     signed = told.filter("doc_id is not null")
     least = F.min(F.struct("doc_id", "near", "blocks")).alias("least")
     same = work.save(signed.groupBy("h1", "h2").agg(least).select("h1", "h2", F.col("least.doc_id").alias("class"), "least.near", "least.blocks"), "same")
-    pairs = work.save(ball_pairs(same, radius), "pairs")
+    pairs = work.save(ball_pairs(same, work, radius), "pairs")
     links = work.save(alike(pairs.groupBy("b").agg(F.min("a").alias("a")), named, size, similarity), "first")
     root = components(links, work, "balls")
     for end in ("a", "b"):
