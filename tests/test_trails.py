@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import polygons, routing, tracks, trails
+from tidewake.operators import listings, polygons, routing, tracks, trails
 
 CAPE = [(48.2, -123.5), (48.4, -123.5), (48.4, -123.3), (48.2, -123.3)]
 LAND = routing.Land([CAPE])
@@ -94,3 +94,11 @@ def test_thinning_by_place(spark):
     d = spark.createDataFrame([(0, bend(48.43, -123.4)), (1, bend(58.0, -140.0))], f"id int, ring {polygons.RING}")
     out = {r.id: r.n for r in d.select("id", F.size(polygons.thinned(F.col("ring"), polygons.thin_km)).alias("n")).collect()}
     assert out == {0: 3, 1: 2}
+
+
+def test_fixes_of_different_vessels_share_no_trust(spark):
+    """A sample near a fix of its own vessel excuses no sample of another vessel that has the same number."""
+    samples = spark.createDataFrame([(1, "-1/0", 48.3, -123.4), (2, "-1/0", 48.3, -123.4)], "mmsi long, id string, lat double, lon double")
+    reals = spark.createDataFrame([(1, 48.3, -123.4)], "mmsi long, lat double, lon double")
+    found = listings.curve_land_free(samples, reals, lambda lat, lon: routing.is_land(lat, lon, LAND)).collect()
+    assert {r.mmsi: (r.bad, r.land_free) for r in found} == {1: (0, True), 2: (1, False)}

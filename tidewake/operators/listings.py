@@ -108,20 +108,21 @@ def runs(samples: DataFrame, flag: Column) -> DataFrame:
     return rows.groupBy("mmsi", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("t").alias("t0"), F.max("t").alias("t1")).drop("run")
 
 
-def trusted(samples: DataFrame, reals: DataFrame, km: float = TRUST_KM) -> DataFrame:
-    """The samples (id, mmsi, lat, lon) with a fix of their vessel within some km: joined by bands of latitude."""
+def trusted(samples: DataFrame, reals: DataFrame, km: float = TRUST_KM, how: str = "left_semi") -> DataFrame:
+    """The samples (mmsi, lat, lon) with a fix of their vessel within some km, or with left_anti those without: joined by
+    bands of latitude."""
     band = km / 111.0
     cell = lambda c: F.floor(F.col(c) / band).cast("bigint")
-    near = reals.select(F.col("mmsi").alias("m"), F.col("lat").alias("y"), F.col("lon").alias("x"), F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("band"))
+    near = reals.select(F.col("mmsi").alias("m"), F.col("lat").alias("y"), F.col("lon").alias("x")).distinct().select("m", "y", "x", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)).alias("band"))
     keyed = samples.withColumn("cell", cell("lat"))
     close = geo.haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")) < km
-    return keyed.join(near, (F.col("mmsi") == F.col("m")) & (F.col("cell") == F.col("band")) & close, "left_semi").drop("cell")
+    return keyed.join(near, (F.col("mmsi") == F.col("m")) & (F.col("cell") == F.col("band")) & close, how).drop("cell")
 
 
 def curve_land_free(samples: DataFrame, reals: DataFrame, land) -> DataFrame:
     """(mmsi, samples, bad, land_free): bad samples of a curve are on land and far from each fix that is on land itself."""
-    ashore = samples.filter(land(F.col("lat"), F.col("lon")))
-    bad = ashore.join(trusted(ashore, reals.filter(land(F.col("lat"), F.col("lon")))).select("id"), "id", "left_anti")
+    ashore = lambda d: d.filter(land(F.col("lat"), F.col("lon")))
+    bad = trusted(ashore(samples), ashore(reals), how="left_anti")
     count = bad.groupBy("mmsi").agg(F.count("*").alias("bad"))
     return samples.groupBy("mmsi").agg(F.count("*").alias("samples")).join(count, "mmsi", "left").select("mmsi", "samples", F.coalesce("bad", F.lit(0)).alias("bad"), F.isnull("bad").alias("land_free"))
 

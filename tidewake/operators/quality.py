@@ -102,6 +102,6 @@ def report(samples: DataFrame, controls: DataFrame, land: routing.Land | None =
     ashore = lambda d: d.filter(routing.is_land(F.col("lat"), F.col("lon"), land))
     bad = ashore(samples.select("mmsi", F.concat_ws("/", "journey", "id", "i").alias("id"), "lat", "lon"))
     real = ashore(controls.filter(~F.coalesce("fake", F.lit(False))).select("mmsi", "lat", "lon"))
-    deep = bad.join(listings.trusted(bad, real).select("id"), "id", "left_anti").withColumn("depth", trails.depth_km(F.col("lat"), F.col("lon"), land))
+    deep = listings.trusted(bad, real, how="left_anti").withColumn("depth", trails.depth_km(F.col("lat"), F.col("lon"), land))
     deep = deep.groupBy("mmsi").agg(F.sum(F.when(F.col("depth") > DEFECT_KM, 1).otherwise(0)).alias("land_defects"), F.max("depth").alias("max_depth_km"))
     return out.join(deep, "mmsi", "left").fillna(0, ["land_defects"]).fillna(0.0, ["max_depth_km"])

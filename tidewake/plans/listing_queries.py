@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import dims, geo, vessels
-from tidewake.operators import listings, tracks, views
+from tidewake.operators import listings, routing, tracks, views
 from tidewake.plans import function_queries, sql, track_queries, view_queries
 from tidewake.plans.function_queries import _edges, ring
 from tidewake.sources import adapter
@@ -200,7 +200,8 @@ def _curve(fix, positions, vessel, spark):
     """Of each vessel's curve, whether all that is on land is near a real fix that is on land itself."""
     p = track_queries.points(fix)
     curve = tracks.spline(tracks.journeys(p)).select("mmsi", (F.col("id") * 100 + F.col("i")).alias("id"), "lat", "lon")
-    return listings.curve_land_free(curve, p.filter("not fake"), _land)
+    shore = routing.Land([function_queries.RING])
+    return listings.curve_land_free(curve, p.filter("not fake"), lambda lat, lon: routing.is_land(lat, lon, shore))
 
 
 COURSE = sql.degrees(sql.bearing("lat0", "lon0", "lat", "lon"))
