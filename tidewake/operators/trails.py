@@ -161,7 +161,7 @@ def repaired(points: DataFrame, land: routing.Land, passes: int = REPAIRS) -> Da
 def runs_of(fixes: DataFrame, land: routing.Land, routed: bool = True) -> DataFrame:
     """Stretches of real and inferred curve of every trail, over water or straight."""
     points = control_points(fixes, land, routed=routed)
-    return tracks.runs(tracks.spline(repaired(points, land) if routed else points))
+    return tracks.stretches(repaired(points, land) if routed else points)
 
 
 @dataclass

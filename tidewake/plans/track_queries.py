@@ -124,7 +124,7 @@ RUNS = """marked AS (SELECT *, CASE WHEN synthetic <> lag(synthetic) OVER w THEN
 
 @query("spline_runs", sql.over("SELECT mmsi, journey, run, synthetic, count(*) + CASE WHEN max(t_next) IS NULL OR bool_or(t_next IS NULL) THEN 0 ELSE 1 END AS n, CAST(floor(min(t)) AS BIGINT) AS t_first, CAST(floor(coalesce(CASE WHEN bool_or(t_next IS NULL) THEN NULL ELSE max(t_next) END, max(t))) AS BIGINT) AS t_last FROM runs GROUP BY mmsi, journey, run, synthetic", SEQ, JOURNEYS, SPLINE, RUNS))
 def _runs(p, spark):
-    r = tracks.runs(tracks.spline(tracks.journeys(p)))
+    r = tracks.stretches(tracks.journeys(p))
     return r.select("mmsi", "journey", "run", "synthetic", "n", F.floor("t_first").alias("t_first"), F.floor("t_last").alias("t_last"))
 
 
@@ -153,10 +153,7 @@ def _live(p, spark):
 def _diff(p, spark):
     """Segments to keep, insert and delete when the stored ones (have) become the computed ones (want)."""
     g = tracks.gaps(p).select("mmsi", "id", vessels.segment_key(F.col("before_t"), F.col("t"), F.col("length")).alias("seg"))
-    have, want = g.filter("id % 3 <> 0").select("mmsi", "seg"), g.filter("id % 4 <> 0").select("mmsi", "seg")
-    both = [(have.join(want, ["mmsi", "seg"], "left_semi"), "keep"), (have.join(want, ["mmsi", "seg"], "left_anti"), "delete"), (want.join(have, ["mmsi", "seg"], "left_anti"), "insert")]
-    out = [d.withColumn("action", F.lit(a)) for d, a in both]
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    return tracks.segment_changes(g, F.col("id") % 3 != 0, F.col("id") % 4 != 0)
 
 
 def _eligible_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def _shown(runs: DataFrame) -> DataFrame:
 @query("client_runs", sql.over(SHOWN, SEQ, DEDUP, KEPT, KEPT_JOURNEYS, SPLINE, RUNS))
 def _client(p, vessel, spark):
     """What a map draws of fixes and inferred points: less those that hardly move, by journeys, as stretches."""
-    return _shown(tracks.runs(tracks.spline(tracks.journeys(tracks.dedup(p)))))
+    return _shown(tracks.stretches(tracks.journeys(tracks.dedup(p))))
 
 
 def _pass(k: int) -> str:
