@@ -135,3 +135,28 @@ def test_bands_of_a_ring_equal_the_test_of_all_edges():
         lat[:500], lon[:20], lat[:20] = np.round(lat[:500], 1), ring[:20, 1] if n > 20 else lon[:20], ring[:20, 0] if n > 20 else lat[:20]
         near = (lat >= ring[:, 0].min()) & (lat <= ring[:, 0].max()) & (lon >= ring[:, 1].min()) & (lon <= ring[:, 1].max())
         assert (routing.Banded([tuple(p) for p in ring.tolist()]).holds(lat, lon) == (near & routing.inside(lat, lon, ring))).all()
+
+
+def test_nearest_water_cell_equals_a_search_ring_by_ring():
+    """From places in the cape, beside it and at sea, with squares of rings and with single rings."""
+    rings = type("Rings", (routing.Grid,), {"SQUARES": ()})
+    for a in ((48.3, -123.4), (48.21, -123.49), (48.39, -123.31), (48.1, -123.6)):
+        found = [kind(a, (48.3, -123.1), LAND, 400).cell(*a) for kind in (routing.Grid, rings)]
+        assert found[0] == found[1] and found[0] is not None
+
+
+def test_many_lines_cross_land_as_one_by_one():
+    rng = np.random.default_rng(5)
+    a, b = (rng.uniform((48.1, -123.6), (48.5, -123.2), (300, 2)) for _ in range(2))
+    b[:100] = a[:100] + (b[:100] - a[:100]) * 1e-3
+    assert LAND.crossed(a, b).tolist() == [LAND.crosses(tuple(p), tuple(q)) for p, q in zip(a, b)]
+    assert LAND.crossed(a[:0], b[:0]).tolist() == []
+
+
+def test_equal_gaps_share_a_way(spark):
+    """Each of 40 vessels on one course gets its own points and times."""
+    rows = [(m, 600_000 * m, 600_000 * m + 8_400_000, 48.3, -123.6, 48.3, -123.2, None, 90.0) for m in range(1, 41)]
+    gaps = spark.createDataFrame(rows, "mmsi bigint, a_t bigint, b_t bigint, a_lat double, a_lon double, b_lat double, b_lon double, entry double, leave double").withColumn("length", F.lit(200).cast("bigint"))
+    found = routing.water_routes(gaps, LAND, 120).collect()
+    per = {m: sorted((r.seq, r.t - 600_000 * m, r.lat, r.lon) for r in found if r.mmsi == m) for m in range(1, 41)}
+    assert len(per[1]) > 0 and all([x[0] for x in v] == [x[0] for x in per[1]] and [x[2:] for x in v] == [x[2:] for x in per[1]] for v in per.values())

@@ -1,7 +1,7 @@
 """Land, water routes across gaps, and the few waypoints that a trail needs.
 
 Polygons are small and go to the tasks with the function. A gap is a row, so gaps are routed in parallel wherever their
-vessel is; the search grid is made anew for each gap and bounded by `max_cells` a side.
+vessel is, those with equal ends and courses once; the search grid is made anew for each and bounded by `max_cells` a side.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo, vessels
 from tidewake.operators import tracks
+from tidewake.operators.stored import saved
 
 Ring = list[tuple[float, float]]
 GAP_MS, GAP_KM, STEP_KM = 1_200_000, 5.0, 0.25
@@ -122,6 +123,22 @@ class Land:
         f = np.linspace(0, 1, max(2, int(np.ceil(distance(*a, *b) / step_km))) + 1)
         return bool(self.is_land(a[0] + (b[0] - a[0]) * f, a[1] + (b[1] - a[1]) * f).any())
 
+    def crossed(self, a: np.ndarray, b: np.ndarray, step_km: float = STEP_KM) -> np.ndarray:
+        """`crosses` for many lines at once, from places a to places b, arrays of (lat, lon)."""
+        out = np.zeros(len(a), bool)
+        n = np.maximum(2, np.ceil(np.nan_to_num(distance(a[:, 0], a[:, 1], b[:, 0], b[:, 1]) / step_km))).astype(np.int64)
+        until = np.concatenate([[0], np.cumsum(n + 1)])
+        i = 0
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(until, until[i] + PAIRS, "right")) - 1)
+            line, first = np.repeat(np.arange(i, j), n[i:j] + 1), until[i:j] - until[i]
+            f = (np.arange(len(line)) - first[line - i]) * (1 / n[line])
+            f[first + n[i:j]] = 1.0
+            at = a[line] + (b[line] - a[line]) * f[:, None]
+            out[i:j] = np.logical_or.reduceat(self.is_land(at[:, 0], at[:, 1]), first)
+            i = j
+        return out
+
 
 @dataclass
 class Region:
@@ -194,6 +211,8 @@ class Grid:
     """
 
     TILE = 64
+    #: Rings around a place that are looked at together.
+    SQUARES = (0, 4, 16, 64)
 
     def __init__(self, a: tuple[float, float], b: tuple[float, float], land: Land, max_cells: int, near_km: float = 4.0):
         direct = float(distance(*a, *b))
@@ -236,7 +255,18 @@ class Grid:
         """The nearest water cell, by rings around the place; None if there is none in the box."""
         r = int(np.clip(round((lat - self.south) / self.dlat), 0, self.rows - 1))
         c = int(np.clip(round((lon - self.west) / self.dlon), 0, self.cols - 1))
-        for k in range(max(self.rows, self.cols)):
+        last, seen = max(self.rows, self.cols), -1
+        for most in self.SQUARES:  # near rings together
+            i, j = (x.ravel() for x in np.meshgrid(*[np.arange(-most, most + 1)] * 2, indexing="ij"))
+            k = np.maximum(np.abs(i), np.abs(j))
+            new = (k > seen) & (k < last) & (i + r >= 0) & (i + r < self.rows) & (j + c >= 0) & (j + c < self.cols)
+            i, j, k = i[new], j[new], k[new]
+            wet = np.flatnonzero(~self.on_land(i + r, j + c))
+            if len(wet):
+                first = wet[np.lexsort((j[wet], i[wet], k[wet]))[0]]
+                return int(i[first] + r), int(j[first] + c)
+            seen = most
+        for k in range(seen + 1, last):
             side = np.arange(-k, k + 1)
             ring = np.unique(np.concatenate([np.stack(x, axis=1) for e in (-k, k) for x in ((np.full(2 * k + 1, e), side), (side, np.full(2 * k + 1, e)))]), axis=0) + (r, c)
             ring = ring[(ring[:, 0] >= 0) & (ring[:, 0] < self.rows) & (ring[:, 1] >= 0) & (ring[:, 1] < self.cols)]
@@ -330,12 +360,12 @@ def smoothed(way: list[tuple[float, float]], land: Land, passes: int = 12, point
     for p, q, d in zip(way, way[1:], legs):
         n = max(1, round(d / step))
         out += [np.array(p) + (np.array(q) - p) * k / n for k in range(1, n + 1)]
+    out = np.array(out)
     for _ in range(passes):
-        new = [out[0]]
-        for p, x, q in zip(out, out[1:], out[2:]):
-            y = x + 0.5 * ((p + q) / 2 - x)
-            new.append(x if land.crosses(tuple(p), tuple(y), 0.1) or land.crosses(tuple(y), tuple(q), 0.1) else y)
-        out = [*new, out[-1]]
+        p, x, q = out[:-2], out[1:-1], out[2:]
+        y = x + 0.5 * ((p + q) / 2 - x)
+        stays = land.crossed(np.concatenate([p, y]), np.concatenate([y, q]), 0.1).reshape(2, -1).any(axis=0)
+        out = np.concatenate([out[:1], np.where(stays[:, None], x, y), out[-1:]])
     return [tuple(float(v) for v in x) for x in out]
 
 
@@ -362,7 +392,7 @@ def crosses_land(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, lan
 
     @F.pandas_udf("boolean")
     def test(y: pd.Series, x: pd.Series, v: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([land.crosses((p, q), (r, s)) for p, q, r, s in zip(y, x, v, u)], dtype=bool)
+        return pd.Series(land.crossed(np.column_stack([y, x]).astype(float), np.column_stack([v, u]).astype(float)))
 
     return test(a_lat, a_lon, b_lat, b_lon)
 
@@ -383,11 +413,19 @@ def land_gaps(fixes: DataFrame, land: Land) -> DataFrame:
     return crossing_gaps(tracks.journeys(tracks.dedup(fixes)), land)
 
 
+#: What a way follows from.
+WAY = ("a_lat", "a_lon", "b_lat", "b_lon", "entry", "leave", "weight")
+
+
 def water_routes(gaps: DataFrame, land: Land, max_cells: int = MAX_CELLS, full: bool = False) -> DataFrame:
     """(mmsi, segment, seq, t, lat, lon): the inferred points inside each gap that has a way over water.
 
-    Without `full` only the points that the way needs are kept. Times are spread evenly over the full way.
+    Without `full` only the points that the way needs are kept. Times are spread evenly over the full way. A way follows
+    from its ends, courses and weight alone, so gaps with the same ones share a way, and each is searched once.
     """
+    keyed = gaps.withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length"))).withColumn("weight", vessels.channel_weight(F.col("length")))
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    keyed = saved(keyed.select("mmsi", "segment", "a_t", "b_t", "a_lat", "a_lon", "b_lat", "b_lon", known("entry"), known("leave"), "weight"))  # two steps read it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
@@ -397,10 +435,17 @@ def water_routes(gaps: DataFrame, land: Land, max_cells: int = MAX_CELLS, full:
                 if not way or len(way) < 3:
                     continue
                 way = smoothed(way, land)
-                time = {p: r.a_t + (r.b_t - r.a_t) * k / (len(way) - 1) for k, p in enumerate(way)}
+                step = {p: k for k, p in enumerate(way)}
                 inner = (way if full else simplified(way, land))[1:-1]
-                out += [(r.mmsi, r.segment, k, float(time[p]), p[0], p[1]) for k, p in enumerate(inner)]
-            yield pd.DataFrame(out, columns=["mmsi", "segment", "seq", "t", "lat", "lon"]).astype({"mmsi": "int64", "segment": str, "seq": "int32", "t": float, "lat": float, "lon": float})
-
-    keyed = gaps.withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length"))).withColumn("weight", vessels.channel_weight(F.col("length")))
-    return keyed.repartition("mmsi", "a_t").mapInPandas(run, "mmsi bigint, segment string, seq int, t double, lat double, lon double")
+                out += [(*r[1:], k, step[p], len(way) - 1, p[0], p[1]) for k, p in enumerate(inner)]
+            kinds = {**dict.fromkeys(WAY, float), "seq": "int32", "step": "int32", "steps": "int32", "lat": float, "lon": float}
+            yield pd.DataFrame(out, columns=[*kinds]).astype(kinds)
+
+    count = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and take long, so small partitions are not put together
+    ways = keyed.select(*WAY).distinct().repartition(count, *WAY).mapInPandas(run, ", ".join(f"{c} double" for c in WAY) + ", seq int, step int, steps int, lat double, lon double")
+    ways = saved(ways).withColumnsRenamed({c: f"way_{c}" for c in WAY})
+    met = F.lit(True)
+    for c in WAY:
+        met = met & F.col(c).eqNullSafe(F.col(f"way_{c}"))
+    t = F.col("a_t") + (F.col("b_t") - F.col("a_t")) * F.col("step") / F.col("steps")
+    return keyed.join(ways, met).select("mmsi", "segment", "seq", t.cast("double").alias("t"), "lat", "lon")
