@@ -282,9 +282,28 @@ def rings_by_box(rings: DataFrame, boxes: DataFrame, degrees: float = 5.0, least
     cells = own.withColumn("cy", F.explode(F.sequence(_cell(F.col("s"), degrees), _cell(F.col("n"), degrees)))).withColumn("cx", F.explode(F.sequence(_cell(F.col("w"), degrees), _cell(F.col("e"), degrees))))
     met = cells.join(box_cells(boxes, degrees), ["cy", "cx"]).filter("s <= north AND south <= n AND w <= east AND west <= e")
     pairs = met.select("region", "ring_id", *boxes.columns).distinct()
-    cut = clipped_rings(rings.join(pairs, ["region", "ring_id"])).filter(F.size("ring") >= least)
+    return closed_parts(clipped_rings(rings.join(pairs, ["region", "ring_id"])), least)
+
+
+def rings_in_own_box(rings: DataFrame, boxes: DataFrame, least: int = 4) -> DataFrame:
+    """The rows of `rings_by_box` for a ring and the box that is named as its region; rings that lie in it stay as they are.
+
+    Boxes are a row a region and go to the tasks, so no ring is shuffled.
+    """
+    of = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    own = F.struct(of(F.array_min, "lat").alias("s"), of(F.array_min, "lon").alias("w"), of(F.array_max, "lat").alias("n"), of(F.array_max, "lon").alias("e"))
+    sides = rings.withColumn("_own", F.explode(F.array(own)))  # as values, so that the terms below do not work them out again
+    met = sides.join(F.broadcast(boxes), F.col("region") == F.col("box")).filter("_own.s <= north AND south <= _own.n AND _own.w <= east AND west <= _own.e")
+    whole = F.expr("_own.s >= south AND _own.n <= north AND _own.w >= west AND _own.e <= east")
+    met = met.withColumn("_whole", F.coalesce(whole, F.lit(False))).drop("_own")
+    parts = met.filter("_whole").unionByName(clipped_rings(met.filter("NOT _whole"))).drop("_whole")
+    return closed_parts(parts, least)
+
+
+def closed_parts(parts: DataFrame, least: int) -> DataFrame:
+    """Parts of rings of some points at least, closed."""
     ends = F.get("ring", F.lit(0)), F.try_element_at("ring", F.lit(-1))
-    return cut.withColumn("ring", F.when(ends[0] == ends[1], F.col("ring")).otherwise(F.concat("ring", F.array(ends[0]))))
+    return parts.filter(F.size("ring") >= least).withColumn("ring", F.when(ends[0] == ends[1], F.col("ring")).otherwise(F.concat("ring", F.array(ends[0]))))
 
 
 def area(ring: Column) -> Column:
@@ -333,15 +352,15 @@ REGION_LAND_KM, REGION_WATER_KM, REGION_DROP_KM, NAVIGABLE_KM = 0.04, 0.05, 0.08
 
 def region_land(islands: DataFrame, boxes: DataFrame) -> DataFrame:
     """Land of regions: their closed rings only, cut to the region's box, thinned, less what is too small."""
-    mine = rings_by_box(islands, boxes).filter("region = box")
+    mine = rings_in_own_box(islands, boxes)
     return finished(mine, F.lit(REGION_LAND_KM), REGION_DROP_KM, 5).select("region", "ring_id", "ring")
 
 
 def region_water(bodies: DataFrame, boxes: DataFrame) -> DataFrame:
     """Navigable water of regions (region, ring_id, ring, holes), cut to their boxes and thinned, and so are its holes."""
-    outer = finished(rings_by_box(bodies.drop("holes"), boxes).filter("region = box"), F.lit(REGION_WATER_KM), NAVIGABLE_KM, 5).select("region", "ring_id", "ring")
+    outer = finished(rings_in_own_box(bodies.drop("holes"), boxes), F.lit(REGION_WATER_KM), NAVIGABLE_KM, 5).select("region", "ring_id", "ring")
     hole = bodies.select("region", F.col("ring_id").alias("body"), F.posexplode("holes").alias("nth", "ring")).withColumn("ring_id", F.concat_ws("/", F.col("body").cast("string"), F.col("nth").cast("string")))
-    kept = finished(rings_by_box(hole, boxes).filter("region = box"), F.lit(REGION_WATER_KM), REGION_DROP_KM, 5)
+    kept = finished(rings_in_own_box(hole, boxes), F.lit(REGION_WATER_KM), REGION_DROP_KM, 5)
     holes = kept.groupBy("region", F.col("body").alias("ring_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "ring"))), lambda x: x["ring"]).alias("holes"))
     return outer.join(holes, ["region", "ring_id"], "left").withColumn("holes", F.coalesce("holes", F.array().cast(f"array<{POINTS}>")))
 
@@ -351,7 +370,7 @@ def build_counts(islands: DataFrame, bodies: DataFrame, boxes: DataFrame) -> Dat
     whole = None
     for kind, rings, least in (("land", islands.select("region", "ring_id", "ring"), REGION_DROP_KM), ("water", bodies.select("region", "ring_id", "ring"), NAVIGABLE_KM)):
         given = rings.groupBy("region").agg(F.count("*").alias("rings")).select("region", F.lit("given").alias("stage"), "rings")
-        cut = rings_by_box(rings, boxes).filter("region = box").select("region", (polygons.span_km(F.col("ring")) >= least).alias("long"))
+        cut = rings_in_own_box(rings, boxes).select("region", (polygons.span_km(F.col("ring")) >= least).alias("long"))
         sums = cut.groupBy("region").agg(F.count("*").alias("cut"), F.sum(F.col("long").cast("bigint")).alias("kept")).unpivot("region", ["cut", "kept"], "stage", "rings").filter("rings > 0")
         both = given.unionAll(sums).select("region", F.lit(kind).alias("kind"), "stage", "rings")
         whole = both if whole is None else whole.unionAll(both)
