@@ -5,7 +5,8 @@ are points (mmsi, journey, id, t, lat, lon, fake).
 
 The distance of a sample from the nearest control line is exact: the line between its own two control points bounds it, and
 every line nearer than that has a part in one of the cells around the sample. Cells have the size of the bound, doubled from
-one level to the next; a line is cut into parts of at most a cell of each level that its journey uses.
+one level to the next; a line is cut into parts of at most a cell of each level that its journey uses. The least level of a
+journey gives it a few parts a line, so that some long lines among many short ones do not become thousands of parts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from tidewake.operators.stored import saved
 #: Sharp turns, degrees; how near a real fix excuses one, km; depth on land that counts as a defect, km; fixed values.
 TURN_DEG, REAL_KM, DEFECT_KM = 60.0, 2.0, 0.15
 KM_DEG = 111.32
-#: Side of the smallest cells, km.
-CELL_KM = 0.05
+#: Side of the smallest cells, km, and parts a line that a journey's least level may give it on average.
+CELL_KM, PARTS = 0.05, 4
 CURVE = ("mmsi", "journey")
 
 
@@ -50,11 +51,13 @@ def _own_km() -> Column:
 def strayed(samples: DataFrame, controls: DataFrame) -> DataFrame:
     """(mmsi, journey, id, i, km): the distance of each sample from the nearest line of its journey's control points."""
     line = lines(controls)
-    flat = controls.groupBy(*CURVE).agg(F.min(F.cos(F.radians("lat"))).alias("least_cos"))
+    reach = F.greatest(F.abs(F.col("b_lat") - F.col("a_lat")), F.abs(F.col("b_lon") - F.col("a_lon")) * F.cos(F.radians("a_lat"))) * KM_DEG
+    least = F.greatest(F.lit(0), F.ceil(F.log2(F.sum(reach) / F.count("*") / (PARTS * CELL_KM)))).cast("int")
+    flat = controls.groupBy(*CURVE).agg(F.min(F.cos(F.radians("lat"))).alias("least_cos")).join(line.groupBy(*CURVE).agg(least.alias("least_level")), [*CURVE])
     own = samples.select(*CURVE, "id", "i", "lat", "lon").join(line, [*CURVE, "id"], "left").select(*CURVE, "id", "i", "lat", "lon", F.coalesce(_own_km(), F.lit(0.0)).alias("bound"))
     own = saved(own)  # three steps read it
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("bound") / CELL_KM))).cast("int")
-    open_ = own.filter("bound > 0").select(*CURVE, "id", "i", "lat", "lon", "bound", level.alias("level")).join(flat, [*CURVE])
+    open_ = own.filter("bound > 0").select(*CURVE, "id", "i", "lat", "lon", "bound", level.alias("level")).join(flat, [*CURVE]).withColumn("level", F.greatest("level", "least_level"))
     side = F.pow(F.lit(2.0), F.col("level")) * CELL_KM / KM_DEG  # of a cell, degrees of latitude
     cell = lambda x, wide: F.floor(x / wide)
     tall, wide = side, side / F.col("least_cos")
