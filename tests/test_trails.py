@@ -102,3 +102,19 @@ def test_fixes_of_different_vessels_share_no_trust(spark):
     reals = spark.createDataFrame([(1, 48.3, -123.4)], "mmsi long, lat double, lon double")
     found = listings.curve_land_free(samples, reals, lambda lat, lon: routing.is_land(lat, lon, LAND)).collect()
     assert {r.mmsi: (r.bad, r.land_free) for r in found} == {1: (0, True), 2: (1, False)}
+
+
+def test_stretches_of_fixes_equal_runs_of_samples(spark):
+    """Journeys of one fix, of one kind and of changing kinds, with equal times."""
+    rng = np.random.default_rng(2)
+    rows = [(v, j, v * 1000 + j * 100 + k, 1000 * (k // 2 if v == 2 else k), 48.0 + float(rng.normal()) / 50, -123.0 + 0.01 * k, bool(rng.random() < (0.4 if j else 0.0))) for v in range(4) for j in range(2) for k in range(1 if v == 3 else 30)]
+    points = spark.createDataFrame(rows, "mmsi long, journey long, id long, t long, lat double, lon double, fake boolean")
+    found, wanted = tracks.stretches(points), tracks.runs(tracks.spline(points))
+    assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_equal_segments_meet_as_in_a_full_join(spark):
+    rows = [(1, "a", 0, True, True), (1, "a", 1, True, False), (1, "b", 2, True, False), (2, "a", 3, False, True), (None, "c", 4, True, True), (3, "d", 5, False, False)]
+    g = spark.createDataFrame(rows, "mmsi long, seg string, id long, h boolean, w boolean")
+    found = sorted((r.mmsi or 0, r.seg, r.action) for r in tracks.segment_changes(g, F.col("h"), F.col("w")).collect())
+    assert found == [(0, "c", "delete"), (0, "c", "insert"), (1, "a", "keep"), (1, "a", "keep"), (1, "b", "delete"), (2, "a", "insert")]

@@ -89,13 +89,13 @@ def control_points(fixes: DataFrame, land: routing.Land, denoise: bool = True, r
     """
     ashore = lambda lat, lon: routing.is_land(lat, lon, land)
     track = tracks.journeys(tracks.dedup(fixes))
-    real = tracks.denoised(track, ashore) if denoise else track
+    real = saved(tracks.denoised(track, ashore) if denoise else track)
     points = real.select("mmsi", "journey", "id", F.col("t").cast("double").alias("t"), "lat", "lon", F.coalesce("fake", F.lit(False)).alias("fake"))
     if routed:
-        gaps = routing.crossing_gaps(real, land).withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length")))
+        gaps = saved(routing.crossing_gaps(real, land).withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length"))))
         way = routing.water_routes(gaps, land, full=True).join(gaps.select("mmsi", "segment", "journey"), ["mmsi", "segment"])
         points = points.unionByName(way.select("mmsi", "journey", F.col("seq").cast("bigint").alias("id"), "t", "lat", "lon", F.lit(True).alias("fake")))
-    points = numbered(points)
+    points = saved(numbered(points))
     apart = lambda s, x: (s["journey"] != x["journey"]) | (geo.haversine_km(s["lat"], s["lon"], x["lat"], x["lon"]) > dims.DEDUP_KM)
     kept = tracks.folded(points, apart, ("lat", "lon", "journey")).select("mmsi", F.explode("kept").alias("id"))
     return points.join(kept, ["mmsi", "id"], "left_semi").select(*POINT)
@@ -210,7 +210,7 @@ def job(fixes: DataFrame, vessel: DataFrame, stored: DataFrame, state: DataFrame
     some = points.groupBy("mmsi").count().filter("count > 1").select("mmsi")
     old = stored.join(todo, "mmsi", "left_semi")
     open_ = saved(some.join(converged(points, old, land), "mmsi", "left_anti"))
-    gaps = routing.land_gaps(points.join(open_, "mmsi", "left_semi"), land).withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length")))
+    gaps = saved(routing.land_gaps(points.join(open_, "mmsi", "left_semi"), land).withColumn("segment", vessels.segment_key(F.col("a_t"), F.col("b_t"), F.col("length"))))
     want = saved(routing.water_routes(gaps, land).join(gaps.select("mmsi", "segment", vessels.wider(F.col("a_tier"), F.col("b_tier")).alias("tier")), ["mmsi", "segment"]))
     have, key = old.join(open_, "mmsi", "left_semi").select("mmsi", "segment").distinct(), ["mmsi", "segment"]
     insert = (want if regenerate else want.join(have, key, "left_anti")).select("mmsi", "segment", "seq", "t", "lat", "lon", "tier")
